@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperlens.llm.answers import judge
 from paperlens.llm.cooccur import cooccurrence, normalise_tag
 from paperlens.llm.encode import encode_column
 from paperlens.llm.pack import pack
 from paperlens.llm.spans import shared_runs, span_pairs, span_shares
+from paperlens.llm.truncation import cut_copies, settle, terminality
+from paperlens.operators.hierarchy import latest
 from paperlens.session import materialize, table
 
 
@@ -28,6 +31,70 @@ def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"), "n_ab", "n_a", "n_b", F.round("ratio", 4).alias("ratio"), (F.round("llr", 3) + 0.0).alias("llr"))
 
 
+# Working marks, and what begins a text of an error that is stored in place of an insight.
+MARKS = ("__ANALYZING__", "__REVIEWING__")
+ERRORS = r"^(?:(?:Insight|Review|Figure|Summary|Translation|PDF|LLM|MinerU)\b[^\n]{0,60}?\b(?:failed|error|timed out|not configured)\b|Error\b|Exception\b|Traceback\b)"
+
+
+def _insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of insights that are texts, one row per paper; of rows that differ the last processed counts."""
+    rows = table(spark, sf_dir, "paper_insights").select("paper_id", "insight", "processed_at")
+    one = rows.where("paper_id is not null").groupBy("paper_id").agg(F.max_by("insight", F.struct("processed_at", "insight")).alias("text"))
+    # max_by skips no row: where processed_at is null its row comes first in order, so it counts only if there is no other
+    short = (F.length("text") < 200) & F.col("text").rlike(ERRORS)
+    return one.where(F.col("text").isNotNull() & ~F.trim("text").isin("", *MARKS) & ~short)
+
+
+def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "paper_comments").select("id", "comment", "ai_reply", "ai_old_text", "ai_new_text", "ai_status", "is_ai", "updated_at", "paper_id")
+    return latest(rows, "id", "updated_at").where(F.col("is_ai") & F.col("ai_status").isin("completed", "applied", "rejected"))
+
+
+def _judged(comments: DataFrame, new_text: bool = True) -> DataFrame:
+    answers = {"ai_reply": (F.col("ai_reply"), False)} | ({"ai_new_text": (F.col("ai_new_text"), True)} if new_text else {})
+    return judge(comments, "id", answers, F.coalesce("comment", F.lit("")), F.coalesce("ai_old_text", F.lit("")))
+
+
+def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field, record_id, source_type of the record) of all cut texts."""
+    insights, comments = materialize(_insights(spark, sf_dir)), materialize(_answered(spark, sf_dir))
+    texts = insights.select(F.lit("insight").alias("field"), F.col("paper_id").alias("record_id"), "text").unionByName(
+        comments.where("ai_reply is not null").select(F.lit("ai_reply").alias("field"), F.col("id").cast("string").alias("record_id"), F.col("ai_reply").alias("text"))
+    )
+    ends = judge(insights, "paper_id", {"insight": (F.col("text"), False)}, F.lit(""), F.lit("")).select(F.lit("insight").alias("field"), F.col("paper_id").alias("record_id"), "defect", "kind", "word")
+    said = _judged(comments, new_text=False).select(F.lit("ai_reply").alias("field"), F.col("id").cast("string").alias("record_id"), "defect", "kind", "word")
+    judged = materialize(ends.where(F.col("defect").isin("truncated", "open")).unionByName(said))
+    closing = settle(judged.where("defect = 'open'"), terminality(texts)).where("cut").select("field", "record_id")
+    sure = judged.where("defect = 'truncated'").select("field", "record_id")
+    other = judged.where("defect not in ('truncated', 'open')").select("field", "record_id")
+    copies = cut_copies(texts, ["field", "record_id"]).join(other, ["field", "record_id"], "left_anti")
+    return sure.unionByName(closing).unionByName(copies).distinct()
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut(spark, sf_dir)
+
+
+def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per field and source_type: texts, cut texts and their share; `none` stands for papers that are gone."""
+    insights, comments = _insights(spark, sf_dir), _answered(spark, sf_dir)
+    records = insights.select(F.lit("insight").alias("field"), F.col("paper_id").alias("record_id"), "paper_id").unionByName(
+        comments.where("length(trim(ai_reply)) > 0").select(F.lit("ai_reply").alias("field"), F.col("id").cast("string").alias("record_id"), "paper_id")
+    )
+    sources = table(spark, sf_dir, "papers").groupBy(F.col("id").alias("paper_id")).agg(F.max("source_type").alias("source_type"))
+    cut = _cut(spark, sf_dir).withColumn("cut", F.lit(1))
+    rows = records.join(sources, "paper_id", "left").join(cut, ["field", "record_id"], "left")
+    return rows.groupBy("field", F.coalesce("source_type", F.lit("none")).alias("source_type")).agg(F.count("*").alias("n"), F.count("cut").alias("n_cut"), F.round(F.count("cut") / F.count("*"), 6).alias("share"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    comments = materialize(_answered(spark, sf_dir))
+    judged = materialize(_judged(comments).drop("text"))
+    texts = comments.select(F.explode(F.array("ai_reply", "ai_new_text")).alias("text")).where("text is not null")
+    cut = settle(judged.where("defect = 'open'"), terminality(texts)).where("cut").select("id", "answer", F.lit("truncated").alias("defect"))
+    return judged.where("defect <> 'open'").select("id", "answer", "defect").unionByName(cut)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(table(spark, sf_dir, "documents"), "doc_id", "text", "byte_bpe_50k")
 
@@ -52,7 +119,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pairs, p6_ids, p7_containers, p8_found, p8_shares)}
+    return {f.__name__: f for f in (p2_found, p2_pairs, p4_found, p4_shares, p5_found, p6_ids, p7_containers, p8_found, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
