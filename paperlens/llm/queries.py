@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paperlens.llm.answers import judge
 from paperlens.llm.cooccur import cooccurrence, normalise_tag
 from paperlens.llm.encode import encode_column
+from paperlens.llm.names import entities, name_pairs
 from paperlens.llm.pack import pack
 from paperlens.llm.spans import shared_runs, span_pairs, span_shares
 from paperlens.llm.truncation import cut_copies, settle, terminality
@@ -31,6 +32,14 @@ def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"), "n_ab", "n_a", "n_b", F.round("ratio", 4).alias("ratio"), (F.round("llr", 3) + 0.0).alias("llr"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_pairs(p3_entities(spark, sf_dir))
+
+
+def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities(table(spark, sf_dir, "author_stats"), table(spark, sf_dir, "name_forms"))
+
+
 # Working marks, and what begins a text of an error that is stored in place of an insight.
 MARKS = ("__ANALYZING__", "__REVIEWING__")
 ERRORS = r"^(?:(?:Insight|Review|Figure|Summary|Translation|PDF|LLM|MinerU)\b[^\n]{0,60}?\b(?:failed|error|timed out|not configured)\b|Error\b|Exception\b|Traceback\b)"
@@ -119,7 +128,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pairs, p4_found, p4_shares, p5_found, p6_ids, p7_containers, p8_found, p8_shares)}
+    return {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_entities, p4_found, p4_shares, p5_found, p6_ids, p7_containers, p8_found, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
