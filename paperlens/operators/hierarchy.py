@@ -26,9 +26,9 @@ from paperlens.session import discard, materialize
 
 
 def latest(df: DataFrame, key: str, version: str) -> DataFrame:
-    """One row per key, that with the latest version; ties are broken by the whole row, null keys are dropped."""
+    """One row per key, that with the latest version; ties are broken by a hash of the whole row, null keys are dropped."""
     rest = [c for c in df.columns if c != key]
-    order = F.struct(F.col(version), F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])))
+    order = F.struct(F.col(version), F.xxhash64(*rest))
     return (
         df.where(F.col(key).isNotNull())
         .groupBy(key)
