@@ -178,7 +178,7 @@ def defect(answer: str | None, comment: str | None, old: str | None, new_text: b
 
 
 def judge(df: DataFrame, key: str, answers: dict[str, tuple[Column, bool]], comment: Column, old: Column) -> DataFrame:
-    """Rows (key, answer, defect, kind, word, text) of every answer with a defect, or with an open end.
+    """Rows (key, answer, defect, kind, word) of every answer with a defect, or with an open end.
 
     answers: name -> (column, whether it is a rewriting of `old`). Nulls are empty answers; null prompts count as empty texts.
     """
@@ -192,16 +192,16 @@ def judge(df: DataFrame, key: str, answers: dict[str, tuple[Column, bool]], comm
             for i, name in enumerate(names):
                 texts, asked = batch.column(3 + 2 * i).to_pylist(), batch.column(4 + 2 * i).to_pylist()
                 new = news[name]
-                rows = [(j, *defect(t, c, o, new), t) for j, (t, c, o, want) in enumerate(zip(texts, prompt, before, asked)) if want]
+                rows = [(j, *defect(t, c, o, new)) for j, (t, c, o, want) in enumerate(zip(texts, prompt, before, asked)) if want]
                 rows = [r for r in rows if r[1]]
                 at = pa.array([r[0] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(at), pa.array([name] * len(rows), pa.string()), *[pa.array([r[k] for r in rows], pa.string()) for k in (1, 2, 3)], pa.array([r[4] if r[1] == "open" else None for r in rows], pa.string())],
-                    [key, "answer", "defect", "kind", "word", "text"],
+                    [keys.take(at), pa.array([name] * len(rows), pa.string()), *[pa.array([r[k] for r in rows], pa.string()) for k in (1, 2, 3)]],
+                    [key, "answer", "defect", "kind", "word"],
                 )
 
     columns = [comment, old]
     for column, new in answers.values():
         columns += [column, (F.length(old) > 0) if new else F.lit(True)]
     flat = df.select(key, *[c.alias(f"_c{i}") for i, c in enumerate(columns)])
-    return flat.mapInArrow(run, f"`{key}` {kind}, answer string, defect string, kind string, word string, text string")
+    return flat.mapInArrow(run, f"`{key}` {kind}, answer string, defect string, kind string, word string")

@@ -54,51 +54,48 @@ def _insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.where(F.col("text").isNotNull() & ~F.trim("text").isin("", *MARKS) & ~short)
 
 
-def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "paper_comments").select("id", "comment", "ai_reply", "ai_old_text", "ai_new_text", "ai_status", "is_ai", "updated_at", "paper_id")
-    return latest(rows, "id", "updated_at").where(F.col("is_ai") & F.col("ai_status").isin("completed", "applied", "rejected"))
+def _answered(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    """Of every comment the latest state, if that is answered. The texts of other states needn't travel."""
+    rows = table(spark, sf_dir, "paper_comments")
+    answered = F.coalesce(F.col("is_ai") & F.col("ai_status").isin("completed", "applied", "rejected"), F.lit(False))
+    texts = [F.when(answered, F.col(c)).alias(c) for c in columns]
+    return latest(rows.select("id", "updated_at", "paper_id", answered.alias("answered"), *texts), "id", "updated_at").where("answered")
 
 
-def _judged(comments: DataFrame, new_text: bool = True) -> DataFrame:
-    answers = {"ai_reply": (F.col("ai_reply"), False)} | ({"ai_new_text": (F.col("ai_new_text"), True)} if new_text else {})
-    return judge(comments, "id", answers, F.coalesce("comment", F.lit("")), F.coalesce("ai_old_text", F.lit("")))
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts that may be cut: id, field, record_id, paper_id, text, comment (empty for insights)."""
+    insights = _insights(spark, sf_dir).select(F.lit("insight").alias("field"), F.col("paper_id").alias("record_id"), "paper_id", "text", F.lit("").alias("comment"))
+    replies = _answered(spark, sf_dir, ["ai_reply", "comment"]).where("length(trim(ai_reply)) > 0").select(
+        F.lit("ai_reply").alias("field"), F.col("id").cast("string").alias("record_id"), "paper_id", F.col("ai_reply").alias("text"), F.coalesce("comment", F.lit("")).alias("comment"))
+    return materialize(insights.unionByName(replies).withColumn("id", F.monotonically_increasing_id()))
 
 
-def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(field, record_id, source_type of the record) of all cut texts."""
-    insights, comments = materialize(_insights(spark, sf_dir)), materialize(_answered(spark, sf_dir))
-    texts = insights.select(F.lit("insight").alias("field"), F.col("paper_id").alias("record_id"), "text").unionByName(
-        comments.where("ai_reply is not null").select(F.lit("ai_reply").alias("field"), F.col("id").cast("string").alias("record_id"), F.col("ai_reply").alias("text"))
-    )
-    ends = judge(insights, "paper_id", {"insight": (F.col("text"), False)}, F.lit(""), F.lit("")).select(F.lit("insight").alias("field"), F.col("paper_id").alias("record_id"), "defect", "kind", "word")
-    said = _judged(comments, new_text=False).select(F.lit("ai_reply").alias("field"), F.col("id").cast("string").alias("record_id"), "defect", "kind", "word")
-    judged = materialize(ends.where(F.col("defect").isin("truncated", "open")).unionByName(said))
-    closing = settle(judged.where("defect = 'open'"), terminality(texts)).where("cut").select("field", "record_id")
-    sure = judged.where("defect = 'truncated'").select("field", "record_id")
-    other = judged.where("defect not in ('truncated', 'open')").select("field", "record_id")
-    copies = cut_copies(texts, ["field", "record_id"]).join(other, ["field", "record_id"], "left_anti")
-    return sure.unionByName(closing).unionByName(copies).distinct()
+def _cut(texts: DataFrame) -> DataFrame:
+    """Ids of the cut texts."""
+    judged = materialize(judge(texts, "id", {"text": (F.col("text"), False)}, F.col("comment"), F.lit("")))
+    closing = settle(judged.where("defect = 'open'"), terminality(texts)).where("cut").select("id")
+    other = judged.where("defect not in ('truncated', 'open')").select("id")
+    copies = cut_copies(texts).join(other, "id", "left_anti")
+    return judged.where("defect = 'truncated'").select("id").unionByName(closing).unionByName(copies).distinct()
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cut(spark, sf_dir)
+    texts = _texts(spark, sf_dir)
+    return texts.select("id", "field", "record_id").join(_cut(texts), "id", "left_semi").select("field", "record_id")
 
 
 def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per field and source_type: texts, cut texts and their share; `none` stands for papers that are gone."""
-    insights, comments = _insights(spark, sf_dir), _answered(spark, sf_dir)
-    records = insights.select(F.lit("insight").alias("field"), F.col("paper_id").alias("record_id"), "paper_id").unionByName(
-        comments.where("length(trim(ai_reply)) > 0").select(F.lit("ai_reply").alias("field"), F.col("id").cast("string").alias("record_id"), "paper_id")
-    )
+    texts = _texts(spark, sf_dir)
     sources = table(spark, sf_dir, "papers").groupBy(F.col("id").alias("paper_id")).agg(F.max("source_type").alias("source_type"))
-    cut = _cut(spark, sf_dir).withColumn("cut", F.lit(1))
-    rows = records.join(sources, "paper_id", "left").join(cut, ["field", "record_id"], "left")
+    rows = texts.select("id", "field", "paper_id").join(_cut(texts).withColumn("cut", F.lit(1)), "id", "left").join(sources, "paper_id", "left")
     return rows.groupBy("field", F.coalesce("source_type", F.lit("none")).alias("source_type")).agg(F.count("*").alias("n"), F.count("cut").alias("n_cut"), F.round(F.count("cut") / F.count("*"), 6).alias("share"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    comments = materialize(_answered(spark, sf_dir))
-    judged = materialize(_judged(comments).drop("text"))
+    comments = materialize(_answered(spark, sf_dir, ["comment", "ai_reply", "ai_old_text", "ai_new_text"]))
+    answers = {"ai_reply": (F.col("ai_reply"), False), "ai_new_text": (F.col("ai_new_text"), True)}
+    judged = materialize(judge(comments, "id", answers, F.coalesce("comment", F.lit("")), F.coalesce("ai_old_text", F.lit(""))))
     texts = comments.select(F.explode(F.array("ai_reply", "ai_new_text")).alias("text")).where("text is not null")
     cut = settle(judged.where("defect = 'open'"), terminality(texts)).where("cut").select("id", "answer", F.lit("truncated").alias("defect"))
     return judged.where("defect <> 'open'").select("id", "answer", "defect").unionByName(cut)

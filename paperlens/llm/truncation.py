@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from paperlens.llm.endings import LIST, last_word, line_words
 from paperlens.llm.nearcopy import longer_copies, similarity
-from paperlens.session import materialize
 
 TERMINAL = 0.05
 SIMILAR = 0.8
@@ -58,7 +57,7 @@ def settle(rows: DataFrame, words: DataFrame) -> DataFrame:
 def _goes_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for digest, a, b in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+        for key, a, b in zip(*[batch.column(i).to_pylist() for i in range(3)]):
             a = a.rstrip()
             anchor = a[-40:]
             at = b.find(anchor, max(0, len(a) - len(anchor) - len(a) // 4))
@@ -66,15 +65,13 @@ def _goes_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = b[end:]
             # in the midst of a sentence: a letter or number follows at once what looks like an end, or anything follows what doesn't
             if at >= 0 and len(rest.strip()) > 1 and (rest[:1].isalnum() and not "㐀" <= rest[:1] <= "鿿" or a[-1:].isalnum() and not rest[:1].isspace()) and similarity(a, b) >= SIMILAR:
-                out.append(digest)
-        yield pa.RecordBatch.from_arrays([pa.array(out, batch.column(0).type)], ["digest"])
+                out.append(key)
+        yield pa.RecordBatch.from_arrays([pa.array(out, batch.column(0).type)], [batch.schema.names[0]])
 
 
-def cut_copies(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+def cut_copies(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """Keys of texts that have a longer near-copy which goes on in the midst of a sentence where they end."""
-    digested = texts.select(*key, F.col(text).alias("text"), F.md5(text).alias("digest"))
-    one = materialize(digested.groupBy("digest").agg(F.first("text").alias("text")))
-    pairs = longer_copies(one)
-    both = pairs.join(one, "digest").join(one.select(F.col("digest").alias("longer"), F.col("text").alias("long")), "longer").select("digest", "text", "long")
-    found = both.mapInArrow(_goes_on, "digest string").distinct()
-    return digested.select(*key, "digest").join(found, "digest", "left_semi").select(*key)
+    pairs = longer_copies(texts, key, text)
+    long = texts.select(F.col(key).alias("longer"), F.col(text).alias("long"))
+    both = pairs.join(texts.select(key, F.col(text).alias("text")), key).join(long, "longer").select(key, "text", "long")
+    return both.mapInArrow(_goes_on, f"{key} {texts.schema[key].dataType.simpleString()}").distinct()
