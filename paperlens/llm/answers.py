@@ -89,9 +89,14 @@ def _template(line: str) -> re.Pattern[str]:
     return re.compile(r"\b" + r"\b\W+(?:[^\W_][\w']*\W+){0,2}?".join(parts) + r"\b")
 
 
-_REFUSALS = [_template(line) for line in REFUSALS.strip().split("\n")]
-_REFUSALS_ZH = [re.compile("[^。！？]{0,6}?".join("(?:" + x.replace("/", "|") + ")" for x in line.split("|"))) for line in REFUSALS_ZH.strip().split("\n")]
+_REFUSALS: dict[str, list[re.Pattern[str]]] = {}  # by the words a template may begin with
+for _line in REFUSALS.strip().split("\n"):
+    for _word in _line.split()[0].split("/"):
+        _REFUSALS.setdefault(_word, []).append(_template(_line))
+_REFUSALS_ZH = re.compile("|".join("[^。！？]{0,6}?".join("(?:" + x.replace("/", "|") + ")" for x in line.split("|")) for line in REFUSALS_ZH.strip().split("\n")))
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|\n+")
+_WORD = re.compile(r"[^\W_]")
+_LATIN_WORD = re.compile(r"[a-zà-ÿ][a-zà-ÿ']*")
 
 # What asks for another language, or to delete something.
 ASKED = {
@@ -111,21 +116,25 @@ def is_empty(text: str | None) -> bool:
     """Null, or nothing but blanks, punctuation, markup or a placeholder."""
     if text is None:
         return True
+    if len(text) > 2000 and _WORD.search(text, 0, 200) and not _MARKUP.search(text, 0, 200):
+        return False
     bare = _MARKUP.sub(" ", text)
-    if bare.strip().casefold().strip("*_`#>:：[](){}<>\"' ") in _PLACEHOLDERS:
+    if len(bare) < 200 and bare.strip().casefold().strip("*_`#>:：[](){}<>\"' ") in _PLACEHOLDERS:
         return True
-    words = re.findall(r"\w+", bare.replace("_", " "))
-    return not words
+    return not _WORD.search(bare)
 
 
 def is_refusal(text: str, lead: int = 3) -> bool:
     """Whether one of the first `lead` sentences aligns with a template and the rest of the text, if any, is short."""
-    sentences = [s for s in _SENTENCE.split(text.strip()) if s and s.strip()]
-    for n, sentence in enumerate(sentences[:lead]):
+    rest = text.strip()
+    for _ in range(lead):
+        sentence, rest = [*_SENTENCE.split(rest, maxsplit=1), ""][:2]
         low = sentence.casefold().replace("’", "'")
-        if any(t.search(low) for t in _REFUSALS) or any(t.search(low) for t in _REFUSALS_ZH):
-            rest = "".join(sentences[n + 1 :])
+        templates = {id(t): t for w in _LATIN_WORD.findall(low) if w in _REFUSALS for t in _REFUSALS[w]}
+        if any(t.search(low) for t in templates.values()) or _REFUSALS_ZH.search(low):
             return len(rest) <= 160
+        if not rest:
+            return False
     return False
 
 
@@ -144,8 +153,17 @@ def _lcs(a: list[str], b: list[str]) -> int:
 
 def is_copy(answer: str, prompt: str, back: float = 0.8, own: int = 2, n: int = 3) -> bool:
     """Whether the answer gives back the prompt and at most `own` tokens of its own besides lead-ins."""
-    a, p = tokens(answer), [t for t in tokens(prompt) if t != "agent"]
-    if not a or not p:
+    p = [t for t in tokens(prompt) if t != "agent"]
+    if not p:
+        return False
+    a, own = tokens(answer), max(own, 0.04 * len(p))
+    words, foreign = set(p), 0
+    for t in a:  # most answers have many words of their own
+        if t not in words and t not in LEAD_IN:
+            foreign += 1
+            if foreign > own:
+                return False
+    if not a:
         return False
     n = min(n, len(p))
     known = {tuple(p[i : i + n]) for i in range(len(p) - n + 1)}
@@ -154,11 +172,14 @@ def is_copy(answer: str, prompt: str, back: float = 0.8, own: int = 2, n: int =
         if tuple(a[i : i + n]) in known:
             covered[i : i + n] = b"\1" * n
     left = sum(1 for t, c in zip(a, covered) if not c and t not in LEAD_IN)
-    return left <= max(own, 0.04 * len(p)) and _lcs(p, a[: 2 * len(p) + 8]) >= back * len(p)
+    return left <= own and _lcs(p, a[: 2 * len(p) + 8]) >= back * len(p)
 
 
-def defect(answer: str | None, comment: str | None, old: str | None, new_text: bool) -> tuple[str, str, str]:
-    """(defect, kind of last line, closing word). The defect is `open` where the closing word must tell whether the answer is cut."""
+def defect(answer: str | None, comment: str | None, old: str | None, new_text: bool, speech: bool = True) -> tuple[str, str, str]:
+    """(defect, kind of last line, closing word). The defect is `open` where the closing word must tell whether the answer is cut.
+
+    Without `speech` languages aren't compared.
+    """
     comment, old = comment or "", old or ""
     if is_empty(answer):
         return ("" if DELETE.search(comment) else "empty"), "", ""
@@ -167,17 +188,16 @@ def defect(answer: str | None, comment: str | None, old: str | None, new_text: b
     if is_refusal(answer):
         return "refusal", "", ""
     verdict, kind, word = ending(answer)
-    if verdict == CUT:
+    if verdict == CUT or verdict == OPEN and kind != "list":
         return "truncated", kind, word
-    said, meant = language(answer), language(old if new_text else comment)
-    if said and meant and said != meant and not _ASKED[said].search(comment):
-        other = "language"
-    else:
-        other = ""
-    return ("open" if verdict == OPEN and not other else other), kind, word
+    if speech:
+        said, meant = language(answer), language(old if new_text else comment)
+        if said and meant and said != meant and not _ASKED[said].search(comment):
+            return "language", kind, word
+    return ("open" if verdict == OPEN else ""), kind, word
 
 
-def judge(df: DataFrame, key: str, answers: dict[str, tuple[Column, bool]], comment: Column, old: Column) -> DataFrame:
+def judge(df: DataFrame, key: str, answers: dict[str, tuple[Column, bool]], comment: Column, old: Column, speech: bool = True) -> DataFrame:
     """Rows (key, answer, defect, kind, word) of every answer with a defect, or with an open end.
 
     answers: name -> (column, whether it is a rewriting of `old`). Nulls are empty answers; null prompts count as empty texts.
@@ -192,7 +212,7 @@ def judge(df: DataFrame, key: str, answers: dict[str, tuple[Column, bool]], comm
             for i, name in enumerate(names):
                 texts, asked = batch.column(3 + 2 * i).to_pylist(), batch.column(4 + 2 * i).to_pylist()
                 new = news[name]
-                rows = [(j, *defect(t, c, o, new)) for j, (t, c, o, want) in enumerate(zip(texts, prompt, before, asked)) if want]
+                rows = [(j, *defect(t, c, o, new, speech)) for j, (t, c, o, want) in enumerate(zip(texts, prompt, before, asked)) if want]
                 rows = [r for r in rows if r[1]]
                 at = pa.array([r[0] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(

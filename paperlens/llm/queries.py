@@ -72,7 +72,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cut(texts: DataFrame) -> DataFrame:
     """Ids of the cut texts."""
-    judged = materialize(judge(texts, "id", {"text": (F.col("text"), False)}, F.col("comment"), F.lit("")))
+    judged = materialize(judge(texts, "id", {"text": (F.col("text"), False)}, F.col("comment"), F.lit(""), speech=False))
     closing = settle(judged.where("defect = 'open'"), terminality(texts)).where("cut").select("id")
     other = judged.where("defect not in ('truncated', 'open')").select("id")
     copies = cut_copies(texts).join(other, "id", "left_anti")
