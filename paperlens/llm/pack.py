@@ -3,7 +3,7 @@
 Records are dealt at random to groups of bounded size, which are packed apart. A group starts from a best-fit packing; then
 the emptiest bin gives its records to other underfull bins, by moves, by exchanges of one record for one, or of two for one, each of
 which makes a fuller bin fuller still and so increases the sum of squared fills, until the bin is empty or nothing helps.
-What stays underfull in the groups is pooled and packed again, until the pool no longer shrinks the number of bins.
+What stays underfull in the groups is pooled and packed again, until it is one group or hardly shrinks.
 """
 
 from __future__ import annotations
@@ -124,7 +124,7 @@ def pack(items: DataFrame, windows: list[tuple[int, int]], group: int = GROUP, n
         "window_id", F.concat_ws("-", F.lit("whole"), "window_id", "doc_id", "piece").alias("container_id"), "doc_id", F.col("piece").cast("int"), (F.col("piece") * F.col("capacity")).alias("start"), F.col("capacity").alias("tokens"))
     rest = sized.select("window_id", "capacity", "doc_id", F.col("full").cast("int").alias("piece"), (F.col("full") * F.col("capacity")).alias("start"), (F.col("n") - F.col("full") * F.col("capacity")).alias("tokens")).where("tokens > 0")
     total = there.count()
-    done, count = [whole], max(1, -(-total // group))
+    done, held, count = [whole], total, max(1, -(-total // group))
     todo, turn = rest.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(count))), 0
     while True:
         last = count == 1
@@ -136,11 +136,14 @@ def pack(items: DataFrame, windows: list[tuple[int, int]], group: int = GROUP, n
         if last:
             break
         left = out.where("open")
-        pool = left.groupBy("window_id").count().agg(F.max("count")).first()[0]
+        pool = left.groupBy("window_id").count().agg(F.max("count")).first()[0] or 0
+        if pool > held // 2:  # most items meet nobody that fits: another turn wouldn't change that
+            done.append(left.select(columns))
+            break
         if not pool:
             break
-        # each turn at least halves the number of groups, so that what is open in them meets
-        count = max(1, min(count // 2, -(-pool // group)))
+        # groups keep their bounded size, so what was open in many of them meets in few
+        held, count = pool, -(-pool // group)
         turn += 1
         todo = left.drop("container_id", "open").withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(count)))
     result = done[0].withColumn("window_id", F.col("window_id").cast("int"))
