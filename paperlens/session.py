@@ -11,6 +11,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,7 @@ def build_session(app: str = "paperlens", cores: str | int = "*", **conf: str) -
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
@@ -85,5 +87,21 @@ def _cleanup() -> None:
         _delete(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once in a session, wherever they run and whatever their paths are."""
+    if getattr(spark.sparkContext, "_paperlens_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="paperlens-code-"), "paperlens_code.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("paperlens", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(target)
+    spark.sparkContext._paperlens_shipped = True  # type: ignore[attr-defined]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
