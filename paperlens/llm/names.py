@@ -137,7 +137,7 @@ def rewrite(name: str) -> tuple[str, str, list[str], str | None, tuple[str, str]
     for w, r in keep:
         if len(w) == 1:
             initials.append(w)
-        elif r.isupper() and len(r) == 2 and cased and not any(c in "aeiouy" for c in w[1:]):
+        elif r.isupper() and len(r) == 2 and cased:
             initials.extend(w)
         else:
             plain.append((w, r))
