@@ -156,7 +156,7 @@ def is_copy(answer: str, prompt: str, back: float = 0.8, own: int = 2, n: int =
     p = [t for t in tokens(prompt) if t != "agent"]
     if not p:
         return False
-    a, own = tokens(answer), max(own, 0.04 * len(p))
+    a = tokens(answer)
     words, foreign = set(p), 0
     for t in a:  # most answers have many words of their own
         if t not in words and t not in LEAD_IN:
@@ -183,7 +183,7 @@ def defect(answer: str | None, comment: str | None, old: str | None, new_text: b
     comment, old = comment or "", old or ""
     if is_empty(answer):
         return ("" if DELETE.search(comment) else "empty"), "", ""
-    if is_copy(answer, comment) or new_text and is_copy(answer, old, 0.95):
+    if is_copy(answer, comment) or new_text and is_copy(answer, old, 0.95, own=0):
         return "copy", "", ""
     if is_refusal(answer):
         return "refusal", "", ""

@@ -12,13 +12,13 @@ HAN = re.compile(r"[㐀-鿿]")
 
 # Frequent function words of four languages.
 FUNCTION_WORDS = {
-    "en": "the of and to in is it that for on with as by at from this be are was were not or an which what why how who when where does do did can could should would will if but than then there these those whose its has have had into only all you we they your our their please such yes no",
-    "de": "der die das den dem des ein eine einen einem einer eines und oder nicht ist sind war wird werden wurde mit von vom zu zum zur auf für bei aus nach über um gegenüber dagegen nur auch als wie was warum wenn weil ob es er sie ihr sich noch schon erst hier gibt kann kein keine durch sie dass rund zwischen ja nein bitte im am",
-    "fr": "le les des du de un une et ou est sont n'est pas ne que qui quoi dans pour par sur avec sans au aux ce cet cette ces il elle on nous vous se sa son ses leur plus alors dont où si mais après lorsque quand comment pourquoi tandis celui entre même déjà oui non seulement l'on c'est qu'une qu'un d'une d'un toujours",
-    "es": "el los las del de un una unos y o es son no que quien en para por con sin al lo se su sus más pero cuando cómo como qué porque mientras si ya entre este esta estos esto solo sólo desde hasta sobre cada sí está después donde dónde sigue hay ante según tras la",
+    "en": "the of and to in is it that for on with as by at from this be are was were not or an which what why how who when where does do did can could should would will if but than then there these those whose its has have had into only all you we they your our their please such yes no a once however moreover therefore consequently instead specifically similarly conversely otherwise nevertheless additionally meanwhile thus also between within under over more most each both while since because after before during until there here very much many some any other another same new first last",
+    "de": "der die das den dem des ein eine einen einem einer eines und oder nicht ist sind war wird werden wurde mit von vom zu zum zur auf für bei aus nach über um gegenüber dagegen nur auch als wie was warum wenn weil ob es er sie ihr sich noch schon erst hier gibt kann kein keine durch sie dass jedoch deshalb daher außerdem stattdessen während seit bis vor ohne mehr sehr jede jeder jedes alle andere gleiche bleibt rund zwischen ja nein bitte im am",
+    "fr": "le les des du de un une et ou est sont n'est pas ne que qui quoi dans pour par sur avec sans au aux ce cet cette ces il elle on nous vous se sa son ses leur plus alors dont où si mais après lorsque quand comment pourquoi tandis celui entre même déjà oui non seulement l'on c'est qu'une qu'un d'une d'un toujours cependant donc ainsi pendant depuis jusqu avant très chaque tous toutes autre cela comme a à dès lors été reste",
+    "es": "el los las del de un una unos y o es son no que quien en para por con sin al lo se su sus más pero cuando cómo como qué porque mientras si ya entre este esta estos esto solo sólo desde hasta sobre cada sí está después donde dónde sigue hay ante según tras la sin embargo además durante cada todos todas otro otra esa ese eso muy a fue queda",
 }
 _WORDS = {language: frozenset(words.split()) for language, words in FUNCTION_WORDS.items()}
-_SHARED = {"fr": frozenset({"la", "de", "un", "que", "se", "si", "es", "les"}), "es": frozenset({"la", "de", "un", "que", "se", "si"})}
+_SHARED = {"en": frozenset({"a", "once", "on"}), "fr": frozenset({"la", "de", "un", "que", "se", "si", "es", "les", "a", "on"}), "es": frozenset({"la", "de", "un", "que", "se", "si", "a"})}
 _LETTERS = {"de": frozenset("äöüß"), "fr": frozenset("èêàùçœîôû"), "es": frozenset("ñ¿¡íóú")}
 
 
