@@ -61,9 +61,9 @@ def html_pages(df: DataFrame, html: str = "html") -> DataFrame:
     """(title, authors, summary, published) of abstract pages."""
     c = F.col(html)
     plain = lambda x: _squeeze(F.regexp_replace(x, "<[^>]+>", " "))
-    title = F.regexp_replace(plain(between(c, '<h1 class="title', "</h1>")), "^[^>]*>\\s*|^Title:\\s*", "")
+    title = F.regexp_replace(plain(between(c, '<h1 class="title', "</h1>")), "^[^>]*>\\s*(?:Title:\\s*)?", "")
     people = F.transform(F.regexp_extract_all(between(c, '<div class="authors">', "</div>"), F.lit("<a[^>]*>([^<]+)</a>"), 1), lambda a: F.trim(a))
-    summary = F.regexp_replace(plain(between(c, '<blockquote class="abstract', "</blockquote>")), "^[^>]*>\\s*|^Abstract:\\s*", "")
+    summary = F.regexp_replace(plain(between(c, '<blockquote class="abstract', "</blockquote>")), "^[^>]*>\\s*(?:Abstract:\\s*)?", "")
     return df.select("*", title.alias("title"), people.alias("authors"), summary.alias("summary"), dateline(between(c, '<div class="dateline">', "</div>")).alias("published"))
 
 
