@@ -67,7 +67,7 @@ def f14_status(t: Tables) -> DataFrame:
 
 @query("f14_pending", "select id, paper_id from c where is_ai and ai_status = 'pending'", "c")
 def f14_pending(t: Tables) -> DataFrame:
-    return t.comments.where("is_ai and ai_status = 'pending'").select("id", "paper_id")
+    return t.comments("paper_id", "is_ai", "ai_status").where("is_ai and ai_status = 'pending'").select("id", "paper_id")
 
 
 @query("f15_with_insight", "select paper_id from pi where insight <> '' and insight <> '__ANALYZING__'", "pi")
@@ -250,7 +250,7 @@ def a_dashboard(t: Tables) -> DataFrame:
 
 @query("a_comments_per_paper", "select paper_id, count(*) as n, count(*) filter (is_ai) as n_ai, count(*) filter (parent_id is not null) as replies from c group by paper_id", "c")
 def a_comments_per_paper(t: Tables) -> DataFrame:
-    return t.comments.groupBy("paper_id").agg(F.count("*").alias("n"), F.count_if("is_ai").alias("n_ai"), F.count("parent_id").alias("replies"))
+    return t.comments("paper_id", "is_ai", "parent_id").groupBy("paper_id").agg(F.count("*").alias("n"), F.count_if("is_ai").alias("n_ai"), F.count("parent_id").alias("replies"))
 
 
 # windows
@@ -266,7 +266,7 @@ def w2_neighbours(t: Tables) -> DataFrame:
 
 @query("w3_latest_comment", ", x as (select paper_id, id, row_number() over (partition by paper_id order by created_at desc, id desc) as rn from c) select paper_id, id from x where rn = 1", "c")
 def w3_latest_comment(t: Tables) -> DataFrame:
-    return insights.latest_version(t.comments.select("paper_id", "id", "created_at"), "paper_id", "created_at", "id").select("paper_id", "id")
+    return insights.latest_version(t.comments("paper_id", "created_at"), "paper_id", "created_at", "id").select("paper_id", "id")
 
 
 @query("w4_sessions", "with x as (select user_id, event_id, ts, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval 30 minute then 0 else 1 end as opens from events), y as (select *, sum(opens) over (partition by user_id order by ts, event_id rows unbounded preceding) as session from x) select user_id, cast(session as bigint) as session, count(*) as n from y group by user_id, session")
@@ -409,7 +409,7 @@ def u7_sync_interest(t: Tables) -> DataFrame:
 
 @query("u11_cascade", "with recursive cc as (select distinct on (id) * from paper_comments order by id, updated_at desc), gone as (select id from cc where ai_status = 'rejected' union select cc.id from cc join gone on cc.parent_id = gone.id) select id from cc where id not in (select id from gone)")
 def u11_cascade(t: Tables) -> DataFrame:
-    return mutations.cascade_delete(t.comments.select("id", "parent_id", "ai_status"), F.col("ai_status") == "rejected").select("id")
+    return mutations.cascade_delete(t.comments("parent_id", "ai_status"), F.col("ai_status") == "rejected").select("id")
 
 
 def queries() -> dict[str, Query]:

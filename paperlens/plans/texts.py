@@ -79,18 +79,18 @@ def t12_tags(t: Tables) -> DataFrame:
 
 @query("t16_history", "select id, trim(regexp_replace(comment, '^@AGENT', ''), chr(32) || chr(9) || chr(10)) as message from c", "c")
 def t16_history(t: Tables) -> DataFrame:
-    return t.comments.select("id", text.clean_history(F.col("comment")).alias("message"))
+    return t.comments("comment").select("id", text.clean_history(F.col("comment")).alias("message"))
 
 
 @query("t17_quotes", "select c.id, case when contains(insight, quote) then 'found' else 'missing' end as status from c join pi on c.paper_id = pi.paper_id where quote <> ''", "pi", "c")
 def t17_quotes(t: Tables) -> DataFrame:
-    both = t.comments.where("quote <> ''").select("id", "paper_id", "quote").join(t.insights.select("paper_id", "insight"), "paper_id")
+    both = t.comments("paper_id", "quote").where("quote <> ''").join(t.insights.select("paper_id", "insight"), "paper_id")
     return both.select("id", F.when(F.col("insight").contains(F.col("quote")), "found").otherwise("missing").alias("status"))
 
 
 @query("t18_edits")
 def t18_edits(t: Tables) -> DataFrame:
-    both = t.comments.where("ai_old_text <> '' and ai_status = 'applied'").select("id", "paper_id", "ai_old_text", "ai_new_text").join(t.insights.select("paper_id", "insight"), "paper_id")
+    both = t.comments("paper_id", "ai_old_text", "ai_new_text", "ai_status").where("ai_old_text <> '' and ai_status = 'applied'").join(t.insights.select("paper_id", "insight"), "paper_id")
     edit = markdown.apply_edit(F.col("insight"), F.col("ai_old_text"), F.col("ai_new_text"))
     return both.select("id", edit.alias("e")).select("id", "e.status", F.length("e.text").alias("n"))
 
@@ -98,7 +98,7 @@ def t18_edits(t: Tables) -> DataFrame:
 @query("t20_fingerprint", "select paper_id, md5(string_agg(id || ':' || ai_status, '|' order by id)) as mark from c group by paper_id", "c")
 def t20_fingerprint(t: Tables) -> DataFrame:
     rows = F.transform(F.sort_array(F.collect_list(F.struct("id", "ai_status"))), lambda x: F.concat_ws(":", x["id"], x["ai_status"]))
-    return t.comments.groupBy("paper_id").agg(F.md5(F.array_join(rows, "|")).alias("mark"))
+    return t.comments("paper_id", "ai_status").groupBy("paper_id").agg(F.md5(F.array_join(rows, "|")).alias("mark"))
 
 
 @query("t22_levenshtein", "select name, levenshtein(regexp_replace(lower(name), '[^a-z ]', '', 'g'), 'susannah') as d from author_stats")
