@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: `![alt](url =size align)`; size is a number with % or px, and may have a height.
+#: Fixed value, a format: `![alt](url =size align)`; size is a number with % or px, and may have a height.
 IMAGE = r"!\[([^\]]*)\]\(([^)\s]+)(?:\s*=\s*(\d+(?:\.\d+)?(?:%|px)?)(?:x(\d+(?:\.\d+)?(?:%|px)?))?(?:\s+(left|right|inline|center))?)?\)"
 _IMAGE = re.compile(IMAGE)
 

@@ -188,6 +188,52 @@ def propagate_captions(blocks: DataFrame) -> DataFrame:
     return _pages(blocks.select("paper_id", "page_idx", "pos", "block_type", "x0", "y0", "x1", "y1", "desc", "caption_number"), ["pos"], _spread, RAW_BLOCK)
 
 
+def rebind_captions(blocks: DataFrame, orphans: DataFrame, most: float = 150.0) -> DataFrame:
+    """Captions that no block owns, to blocks of their kind and page without one: the nearest pairs first, each used once, none further apart than `most`.
+
+    orphans: (paper_id, page_idx, x0, y0, x1, y1, desc, caption_number). The distance is the vertical gap plus the horizontal one, doubled where both have no width in common.
+    """
+    columns = ["paper_id", "page_idx", "pos", "block_type", "x0", "y0", "x1", "y1", "desc", "caption_number"]
+    loose = orphans.select("paper_id", "page_idx", F.lit(None).cast("int").alias("pos"), F.lit("caption").alias("block_type"), "x0", "y0", "x1", "y1", "desc", "caption_number")
+
+    def bind(page: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        kind, number, desc = page["block_type"].tolist(), page["caption_number"].tolist(), page["desc"].tolist()
+        box = list(zip(*(page[c].tolist() for c in ("x0", "y0", "x1", "y1"))))
+        bare = [i for i, k in enumerate(kind) if k != "caption" and not isinstance(number[i], str)]
+        loose = [i for i, k in enumerate(kind) if k == "caption"]
+        pairs = []
+        for c in loose:
+            for b in bare:
+                if isinstance(number[c], str) and (number[c][0] == "T") == (kind[b] == "table"):
+                    p, q = box[c], box[b]
+                    v, h = max(0.0, q[1] - p[3], p[1] - q[3]), max(0.0, q[0] - p[2], p[0] - q[2])
+                    d = (v + h) * (2 if h > 0 else 1)
+                    if d <= most:
+                        pairs.append((d, c, b))
+        used: set[int] = set()
+        for _, c, b in sorted(pairs):
+            if c not in used and b not in used:
+                used |= {c, b}
+                number[b], desc[b] = number[c], desc[c]
+        kept = [i for i, k in enumerate(kind) if k != "caption"]
+        out = page | {"caption_number": np.array(number, dtype=object), "desc": np.array(desc, dtype=object)}
+        return {c: v[kept] for c, v in out.items()}
+
+    return _pages(blocks.select(*columns).unionByName(loose), ["block_type", "pos"], bind, RAW_BLOCK)
+
+
+def swap_captions(blocks: DataFrame) -> DataFrame:
+    """On pages where just one table has a figure's caption and just one figure a table's, the two captions change places."""
+    page = Window.partitionBy(*PAGE)
+    wrong = F.coalesce(caption_mismatch(F.col("caption_number"), F.col("block_type")), F.lit(False))
+    on_table, on_figure = wrong & (F.col("block_type") == "table"), wrong & (F.col("block_type") != "table")
+    one = (F.count_if(on_table).over(page) == 1) & (F.count_if(on_figure).over(page) == 1)
+    caption = F.struct("caption_number", "desc")
+    other = F.when(on_table, F.max(F.when(on_figure, caption)).over(page)).when(on_figure, F.max(F.when(on_table, caption)).over(page))
+    new = F.when(one & wrong, other).otherwise(caption)
+    return blocks.withColumn("_new", new).withColumn("caption_number", F.col("_new.caption_number")).withColumn("desc", F.col("_new.desc")).drop("_new")
+
+
 def figures(blocks: DataFrame) -> DataFrame:
     """Blocks with one caption number on a page as one figure: union of boxes, number of parts. Blocks without a number stay alone."""
     key = F.coalesce("caption_number", F.concat(F.lit("pos:"), F.col("pos").cast("string")))

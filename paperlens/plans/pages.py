@@ -55,6 +55,12 @@ def l_propagated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.propagate_captions(boxes(spark, sf_dir)).select("paper_id", "page_idx", "pos", "caption_number")
 
 
+def l_swapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds are turned round on every third block, so that captions are of the other kind."""
+    turned = F.when(F.col("pos") % 3 == 0, F.when(F.col("block_type") == "table", "image").otherwise("table")).otherwise(F.col("block_type"))
+    return layout.swap_captions(boxes(spark, sf_dir).withColumn("block_type", turned)).select("paper_id", "pos", "caption_number")
+
+
 def l_missing_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.missing_numbers(boxes(spark, sf_dir))
 
@@ -77,7 +83,7 @@ def l_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (l_overlaps, l_extents, l_noise, l_columns, l_panels, l_figures, l_unique_captions, l_propagated, l_missing_numbers, l_validate, l_clusters, l_largest_gap, l_distinct)}
+    return {f.__name__: f for f in (l_overlaps, l_extents, l_noise, l_columns, l_panels, l_figures, l_unique_captions, l_propagated, l_swapped, l_missing_numbers, l_validate, l_clusters, l_largest_gap, l_distinct)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -96,6 +102,10 @@ def oracle_sql() -> dict[str, str]:
         "l_panels": f"{b} select paper_id, page_idx, pos, caption_number, substr('{layout.LETTERS}', row_number() over (partition by paper_id, page_idx, caption_number order by round(y0 / 20), x0, pos), 1) as panel from b where caption_number is not null",
         "l_figures": f"{b} select paper_id, page_idx, coalesce(caption_number, 'pos:' || pos) as figure, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, count(*) as parts from b group by 1, 2, 3",
         "l_unique_captions": f"{b}, k as (select *, case when block_type = 'table' then 'T' else 'F' end as kind from b), u as (select paper_id, page_idx, kind, min(caption_number) as one from k where starts_with(caption_number, kind) group by 1, 2, 3 having count(distinct caption_number) = 1) select k.paper_id, pos, coalesce(caption_number, one) as caption_number from k left join u on k.paper_id = u.paper_id and k.page_idx = u.page_idx and k.kind = u.kind",
+        "l_swapped": f"""{b}, k as (select *, case when pos % 3 = 0 then case block_type when 'table' then 'image' else 'table' end else block_type end as kind from b),
+          w as (select *, coalesce(starts_with(caption_number, 'F') and kind = 'table', false) as ft, coalesce(starts_with(caption_number, 'T') and kind = 'image', false) as tf from k),
+          p as (select *, count(*) filter (ft) over g = 1 and count(*) filter (tf) over g = 1 as one, max(case when ft then caption_number end) over g as f, max(case when tf then caption_number end) over g as t from w window g as (partition by paper_id, page_idx))
+          select paper_id, pos, case when one and ft then t when one and tf then f else caption_number end as caption_number from p""",
         "l_missing_numbers": f"{b}, n as (select distinct paper_id, substr(caption_number, 1, 1) as kind, cast(substr(caption_number, 3) as int) as number from b where caption_number is not null), t as (select paper_id, kind, unnest(range(1, max(number) + 1)) as number from n group by paper_id, kind) select paper_id, kind, cast(number as int) as number from t where (paper_id, kind, number) not in (select paper_id, kind, number from n)",
         "l_clusters": f"{b}, m as (select *, case when y0 - lag(y1) over w >= 30 then 1 else 0 end as opens from b window w as (partition by paper_id, page_idx order by y0, x0)), c as (select *, cast(sum(opens) over (partition by paper_id, page_idx order by y0, x0 rows unbounded preceding) as bigint) as cluster from m) select paper_id, page_idx, cluster, min(y0) as y0, max(y1) as y1, count(*) as n from c group by 1, 2, 3",
         "l_largest_gap": f"{b}, m as (select paper_id, page_idx, y0 - lag(y1) over (partition by paper_id, page_idx order by y0, x0) as gap, y0 from b) select paper_id, page_idx, max(gap) as gap, max_by(y0, (gap, -y0)) as \"at\" from m where gap is not null group by 1, 2",

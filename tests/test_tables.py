@@ -68,6 +68,16 @@ def test_propagation(spark):
     assert layout.propagate_captions(spark.createDataFrame([], BOXES)).count() == 0
 
 
+def test_rebinding_and_swaps(spark):
+    blocks = spark.createDataFrame([block(0, (0, 0, 100, 100)), block(1, (300, 0, 400, 100)), block(2, (0, 300, 100, 400), kind="table"), block(3, (0, 500, 10, 510), "F:1")], BOXES)
+    loose = [("p", 0, 0.0, 105.0, 100.0, 115.0, "Figure 2", "F:2"), ("p", 0, 0.0, 285.0, 100.0, 295.0, "Table 1", "T:1"), ("p", 0, 900.0, 900.0, 950.0, 910.0, "Figure 9", "F:9"), ("q", 0, 0.0, 0.0, 1.0, 1.0, "Figure 1", "F:1")]
+    orphans = spark.createDataFrame(loose, "paper_id string, page_idx int, x0 double, y0 double, x1 double, y1 double, desc string, caption_number string")
+    got = {r.pos: (r.caption_number, r.desc) for r in layout.rebind_captions(blocks, orphans).collect()}
+    assert got == {0: ("F:2", "Figure 2"), 1: (None, "image on page 1"), 2: ("T:1", "Table 1"), 3: ("F:1", "F:1")}
+    wrong = spark.createDataFrame([block(0, (0, 0, 9, 9), "T:1"), block(1, (0, 0, 9, 9), "F:2", "table"), block(2, (0, 0, 9, 9), "F:3")], BOXES)
+    assert {r.pos: r.caption_number for r in layout.swap_captions(wrong).collect()} == {0: "F:2", 1: "T:1", 2: "F:3"}
+
+
 def test_layout_document(spark):
     line = lambda s: {"bbox": [0, 0, 1, 1], "spans": [{"type": "text", "content": s}]}
     doc = {"pdf_info": [{"page_idx": 3, "page_size": [600, 800], "para_blocks": [
