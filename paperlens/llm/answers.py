@@ -107,7 +107,10 @@ ASKED = {
     "es": r"\b(?:in|into|to) spanish\b|西班牙文|西班牙语|auf spanisch|ins spanische|en espagnol|en español|al español",
 }
 _ASKED = {k: re.compile(v, re.I) for k, v in ASKED.items()}
-DELETE = re.compile(r"\b(?:delete|remove|drop|strike|erase|take out|get rid of|cut (?:this|the))\b|删|去掉(?:吧|这|该|它)|去掉$|移除|\b(?:lösch\w*|streich\w*|entfern\w*)\b|\b(?:supprim\w*|enlev\w*|retir\w*|effac\w*)\b|\b(?:elimin\w*|borr\w*|quit\w*|suprim\w*)\b", re.I)
+DELETE = re.compile(
+    r"\b(?:delete|remove|erase|take out|get rid of|(?:drop|strike|cut) (?:this|that|the|it)\b)|删|去掉(?:吧|这|该|它)|去掉$|移除|\b(?:lösch|streich|entfern)\w*|\b(?:supprim|enlèv|enlev|effac)\w*|\b(?:elimin(?:a|ar|e|en)|borra\w*|borre\w*|quita\w*|suprim\w*)\b",
+    re.I,
+)
 # Words that lead in what is given back.
 LEAD_IN = frozenset("you ask asked asking question re regarding about your sie fragen fragten frage zur zu betreff vous demandez demandiez question votre à propos usted pregunta preguntas sobre su 关 于 问 题 您 你 的 原 文 引 用 agent q a the user said says here is text".split())
 
