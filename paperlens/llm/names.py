@@ -223,7 +223,11 @@ def entities(names: DataFrame, familiar: DataFrame, name: str = "name", establis
     hub = near.groupBy("form").agg(F.max(F.struct("exact", "n", "key", "word")).alias("hub"))
     linked = near.join(hub, "form").where("key <> hub.key").where("not hub.exact or not exact")
     two = (F.col("word") != F.col("hub.word")) & (F.least("n", "hub.n") >= established) & (F.least("n", "hub.n") > share * F.greatest("n", "hub.n"))
-    by_slip = linked.where(~two).select(F.col("key").alias("u"), F.col("hub.key").alias("v"))
+    # different middle initials tell people with like names apart
+    told_middle = materialize(parsed.where("kind = 'pair' and middle is not null").groupBy(F.col("who").alias("key")).agg(F.min("middle").alias("middle")))
+    other_middle = told_middle.select(F.col("key").alias("v"), F.col("middle").alias("other"))
+    by_slip = linked.where(~two).select("key", F.col("hub.key").alias("v")).distinct().join(told_middle, "key", "left").join(other_middle, "v", "left")
+    by_slip = by_slip.where("coalesce(middle, other) is null or coalesce(middle, other) = coalesce(other, middle)").select(F.col("key").alias("u"), "v")
 
     # nicknames and other rewritings: a key's further forms; it is linked where just one of them is anyone else's
     further = formal.unionByName(keys.select("key", F.explode("forms").alias("form"))).where("key <> form").distinct()

@@ -48,6 +48,11 @@ def test_two_common_names_are_no_slips(spark):
     assert linked(spark, names) == set()
 
 
+def test_middle_initials_tell_apart(spark):
+    assert linked(spark, ["Nils K. Abrahamsen", "Nils P. Abrahamson", "Nils Abrahamsen"]) == groups(["Nils K. Abrahamsen", "Nils Abrahamsen"])
+    assert linked(spark, ["Nils K. Abrahamsen", "Nils K. Abrahamson"]) == groups(["Nils K. Abrahamsen", "Nils K. Abrahamson"])
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(None,), ("",), ("  ",), ("†",), ("X",), ("x" * 5000 + " Long",), ("A B C D E",), ("A B C D E",)], "name string")
     forms = spark.createDataFrame([], "formal string, familiar string")
