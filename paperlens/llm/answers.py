@@ -194,7 +194,7 @@ def defect(answer: str | None, comment: str | None, old: str | None, new_text: b
     if verdict == CUT or verdict == OPEN and kind != "list":
         return "truncated", kind, word
     if speech:
-        said, meant = language(answer), language(old if new_text else comment)
+        said, meant = language(answer), language(old if new_text else comment, short=True)
         if said and meant and said != meant and not _ASKED[said].search(comment):
             return "language", kind, word
     return ("open" if verdict == OPEN else ""), kind, word

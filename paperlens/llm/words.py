@@ -27,8 +27,8 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.casefold())
 
 
-def language(text: str) -> str | None:
-    """en, de, fr, es or zh; None where the text doesn't tell."""
+def language(text: str, short: bool = False) -> str | None:
+    """en, de, fr, es or zh; None where the text doesn't tell. With `short` one function word tells for a few words."""
     bare = NAME.sub(" ", text)
     han = len(HAN.findall(bare))
     words = LATIN.findall(HAN.sub(" ", bare).casefold().replace("’", "'"))
@@ -49,6 +49,8 @@ def language(text: str) -> str | None:
             score["fr"] += 1.0
     ranked = sorted(score, key=lambda k: (-score[k], k))
     best, second = score[ranked[0]], score[ranked[1]]
+    if short and latin <= 5 and best >= 1 and not second:
+        return ranked[0]
     if best >= 2 and best >= 1.5 * second and best >= 0.08 * latin:
         return ranked[0]
     return None
