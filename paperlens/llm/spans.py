@@ -23,6 +23,7 @@ from paperlens.session import materialize
 SEGMENT = 1_000_000
 M = 32
 HOT = 20_000
+MOST = 2_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0xD6E8FEB86659FD93
 
@@ -157,9 +158,9 @@ def _bucket(h: list[int], digests: list[bytes], strings: list[str], parts: list[
     v, u = v[order], u[order]
     window = np.empty(len(at), dtype=np.int64)
     window[order] = np.cumsum(np.r_[0, (v[1:] != v[:-1]) | (u[1:] != u[:-1])])
-    # the set of strings of each window, as a sum of random numbers of its members; a window repeated in a string counts once
+    # the set of strings of each window, as a sum of their digests, which mean the same in every part of a bucket; a window repeated in a string counts once
     pair = np.unique(window * len(strings) + owner)
-    token = _mix((np.arange(len(strings), dtype=np.uint64) + np.uint64(1)) * _A)
+    token = _mix(np.frombuffer(b"".join(d[:8] for d in digests), dtype="<u8").astype(np.uint64))
     mark = np.zeros(window.max() + 1, dtype=np.uint64)
     np.add.at(mark, pair // len(strings), token[pair % len(strings)])
     group = mark[window]
@@ -172,7 +173,7 @@ def _bucket(h: list[int], digests: list[bytes], strings: list[str], parts: list[
     )
 
 
-def _buckets(k: int, most: int = 2_000_000):
+def _buckets(k: int, most: int = MOST):
     """Batches come sorted by (h, part); buckets are gathered until they have `most` characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +196,7 @@ def _buckets(k: int, most: int = 2_000_000):
     return run
 
 
-def shared_runs(df: DataFrame, key: str, text: str, k: int = 200, m: int = M, hot: int = HOT) -> DataFrame:
+def shared_runs(df: DataFrame, key: str, text: str, k: int = 200, m: int = M, hot: int = HOT, most: int = MOST) -> DataFrame:
     """Runs of windows that occur in more than one record: rows (h, class, doc, start, windows).
 
     All records with a row of one (h, class) share every window of it with one another; `start` counts code points from 0.
@@ -211,7 +212,7 @@ def shared_runs(df: DataFrame, key: str, text: str, k: int = 200, m: int = M, ho
     size = pieces.groupBy("h").agg(F.approx_count_distinct("digest").alias("n")).where(f"n > {hot}")
     parts = strings.join(size, "h", "left").withColumn("parts", F.expr(f"coalesce(n div {hot} + 1, 1)")).withColumn("part", F.explode(F.expr("sequence(0, cast(parts as int) - 1)")))
     sorted_ = parts.select("h", "digest", "s", F.col("parts").cast("int"), "part").repartition("h", "part").sortWithinPartitions("h", "part")
-    runs = sorted_.mapInArrow(_buckets(k), "h long, class long, digest binary, lo long, windows long")
+    runs = sorted_.mapInArrow(_buckets(k, most), "h long, class long, digest binary, lo long, windows long")
     where = pieces.select("h", "digest", "doc", "start").distinct()
     found = materialize(runs.join(where, ["h", "digest"]).select("h", "class", "doc", (F.col("start") + F.col("lo")).alias("start"), "windows"))
     several = found.groupBy("h", "class").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("h", "class")

@@ -40,6 +40,20 @@ def test_against_brute_force(spark, hot):
     assert got[200].n_chars == 0 and got[200].share == 0.0
 
 
+@pytest.mark.parametrize("most", [2_000_000, 50])
+def test_parts_of_a_bucket_in_different_calls(spark, most):
+    # one gram that all texts share is the minimiser of many different windows, few of which are shared
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    docs = {i: word(14) + "z" * 8 + word(14) for i in range(80)}
+    docs |= {100 + i: docs[i] for i in range(5)}
+    df = spark.createDataFrame(list(docs.items()), "doc long, text string")
+    pairs, shares = brute(docs, 20)
+    runs = shared_runs(df, "doc", "text", 20, m=8, hot=4, most=most)
+    assert {tuple(r) for r in span_pairs(runs).collect()} == pairs
+    assert {r.doc: r.n_shared for r in span_shares(df, runs, "doc", "text", 20).collect()} == shares
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc long, text string")
     assert span_pairs(shared_runs(df, "doc", "text")).count() == 0
