@@ -1,4 +1,4 @@
-"""Near-copies by min-hash banding over shingles of five words; in linear work, each text against the longest of its buckets."""
+"""Near-copies by min-hash banding over shingles of five words; each different text against all longer ones of its buckets."""
 
 from __future__ import annotations
 
@@ -51,12 +51,12 @@ def similarity(a: str, b: str) -> float:
 
 
 def bands(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(key, size, band, bucket) of every text with at least one word. Null texts have none."""
+    """(key, size, shingles, band, bucket) of every text with at least one word. Null texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
         for batch in batches:
-            at, sizes, buckets = [], [], []
+            at, sizes, counts, buckets = [], [], [], []
             for i, value in enumerate(batch.column(1).to_pylist()):
                 x = _shingles(value, cache)
                 if not len(x):
@@ -66,23 +66,27 @@ def bands(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
                     y = x[lo : lo + 4096, None] * _MUL + _ADD
                     low = np.minimum(low, (y ^ (y >> np.uint64(31))).min(axis=0))
                 buckets.append((low.reshape(BANDS, ROWS) * _POWERS).sum(axis=1, dtype=np.uint64).view(np.int64))
-                at.append(i), sizes.append(len(value))
+                at.append(i), sizes.append(len(value.rstrip())), counts.append(len(x))
             if at:
                 many = pa.array(np.repeat(np.array(at), BANDS))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(many), pa.array(np.repeat(np.array(sizes, dtype=np.int32), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(at))), pa.array(np.concatenate(buckets))],
-                    [key, "size", "band", "bucket"],
+                    [batch.column(0).take(many), pa.array(np.repeat(np.array(sizes, dtype=np.int32), BANDS)), pa.array(np.repeat(np.array(counts, dtype=np.int32), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(at))), pa.array(np.concatenate(buckets))],
+                    [key, "size", "shingles", "band", "bucket"],
                 )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"{key} {kind}, size int, band int, bucket long")
+    return df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"{key} {kind}, size int, shingles int, band int, bucket long")
 
 
-def longer_copies(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """Rows (key, longer) of candidates: for each text the longest text of each bucket it is in, where that is longer.
+def longer_copies(df: DataFrame, key: str = "id", text: str = "text", similar: float = 0.0) -> DataFrame:
+    """Rows (key, longer) of candidates: for each text all longer ones that share a bucket with it.
 
-    A bucket gives at most one row for each of its texts, so one with a third of all texts gives no more than they are.
+    Pairs whose numbers of shingles rule out a similarity of `similar` are left out. The texts are to be different, as each pair of
+    a bucket is a row.
     """
     rows = materialize(bands(df, key, text))
-    top = rows.groupBy("band", "bucket").agg(F.max(F.struct("size", key)).alias("top"), F.min("size").alias("low")).where("low < top.size").select("band", "bucket", "top")
-    return rows.join(top, ["band", "bucket"]).where("size < top.size").select(key, F.col(f"top.{key}").alias("longer")).distinct()
+    several = rows.groupBy("band", "bucket").agg(F.max("size").alias("top"), F.min("size").alias("low")).where("low < top").select("band", "bucket")
+    kept = materialize(rows.join(several, ["band", "bucket"], "left_semi"))
+    long = kept.select("band", "bucket", F.col(key).alias("longer"), F.col("size").alias("top"), F.col("shingles").alias("n"))
+    near = (F.least("shingles", "n") >= similar * F.greatest("shingles", "n")) & (F.col("size") < F.col("top"))
+    return kept.join(long, ["band", "bucket"]).where(near).select(key, "longer").distinct()

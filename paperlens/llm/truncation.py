@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 from paperlens.llm.endings import LIST, last_word, line_words
 from paperlens.llm.nearcopy import longer_copies, similarity
+from paperlens.session import materialize
 
 TERMINAL = 0.05
 SIMILAR = 0.8
+TAIL, SAME = 40, 3
 
 
 def terminality(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -54,24 +56,72 @@ def settle(rows: DataFrame, words: DataFrame) -> DataFrame:
     return rows.join(known, "word", "left").withColumn("cut", (F.col("kind") != "list") | (F.coalesce("terminality", F.lit(0.0)) < TERMINAL))
 
 
+def _ends(tail: str, text: str, most: int) -> list[tuple[int, int]]:
+    """(distance, end) of every place of the text where the tail ends with at most `most` edits, by bit-parallel columns."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(tail):
+        places[x] = places.get(x, 0) | 1 << i
+    full, high, distance, out = (1 << len(tail)) - 1, 1 << len(tail) - 1, len(tail), []
+    more, less = full, 0
+    for end, x in enumerate(text, 1):
+        hit = places.get(x, 0)
+        down, along = hit | less, (((hit & more) + more) ^ more) | hit
+        up, back = (less | ~(along | more)) & full, more & along
+        distance += bool(up & high) - bool(back & high)
+        up, back = up << 1, back << 1
+        more, less = (back | ~(down | up)) & full, up & down
+        if distance <= most:
+            out.append((distance, end))
+    return out
+
+
+def aligned(a: str, b: str) -> int:
+    """Where the end of `a` lies in `b`, or -1: its last characters aligned with the fewest edits, the very last ones without any.
+
+    Of several such places the one with the longest equal text before it counts, then the one nearest to the length of `a`.
+    """
+    tail, same = a[-TAIL:], a[-SAME:]
+    lo = max(0, len(a) - len(tail) - len(a) // 4)
+    ends, at = [], b.find(tail, lo)
+    while at >= 0:
+        ends.append((0, at + len(tail)))
+        at = b.find(tail, at + 1)
+    if not ends:
+        ends = [(d, lo + end) for d, end in _ends(tail, b[lo:], len(tail) // 4) if b.endswith(same, lo, lo + end)]
+    if not ends:
+        return -1
+    least = min(ends)[0]
+
+    def common(end: int) -> int:
+        n, most = 0, min(len(a), end)
+        while n < most and a[-1 - n] == b[end - 1 - n]:
+            n += 1
+        return n
+
+    return max((end for d, end in ends if d == least), key=lambda end: (common(end), -abs(end - len(a))))
+
+
 def _goes_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for key, a, b in zip(*[batch.column(i).to_pylist() for i in range(3)]):
             a = a.rstrip()
-            anchor = a[-40:]
-            at = b.find(anchor, max(0, len(a) - len(anchor) - len(a) // 4))
-            end = at + len(anchor)
+            if similarity(a, b) < SIMILAR or (end := aligned(a, b)) < 0:
+                continue
             rest = b[end:]
             # in the midst of a sentence: a letter or number follows at once what looks like an end, or anything follows what doesn't
-            if at >= 0 and len(rest.strip()) > 1 and (rest[:1].isalnum() and not "㐀" <= rest[:1] <= "鿿" or a[-1:].isalnum() and not rest[:1].isspace()) and similarity(a, b) >= SIMILAR:
+            if len(rest.strip()) > 1 and (rest[:1].isalnum() and not "㐀" <= rest[:1] <= "鿿" or a[-1:].isalnum() and not rest[:1].isspace()):
                 out.append(key)
         yield pa.RecordBatch.from_arrays([pa.array(out, batch.column(0).type)], [batch.schema.names[0]])
 
 
 def cut_copies(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """Keys of texts that have a longer near-copy which goes on in the midst of a sentence where they end."""
-    pairs = longer_copies(texts, key, text)
-    long = texts.select(F.col(key).alias("longer"), F.col(text).alias("long"))
-    both = pairs.join(texts.select(key, F.col(text).alias("text")), key).join(long, "longer").select(key, "text", "long")
-    return both.mapInArrow(_goes_on, f"{key} {texts.schema[key].dataType.simpleString()}").distinct()
+    """Keys of texts that have a longer near-copy which goes on in the midst of a sentence where they end. Equal texts are judged once."""
+    marks = materialize(texts.where(F.col(text).isNotNull()).select(key, F.unhex(F.sha2(text, 256)).alias("digest")))
+    one = materialize(marks.groupBy("digest").agg(F.min(key).alias(key)))
+    different = texts.join(one.select(key), key, "left_semi")
+    pairs = longer_copies(different, key, text, SIMILAR)
+    long = different.select(F.col(key).alias("longer"), F.col(text).alias("long"))
+    both = pairs.join(different.select(key, F.col(text).alias("text")), key).join(long, "longer").select(key, "text", "long")
+    found = both.mapInArrow(_goes_on, f"{key} {texts.schema[key].dataType.simpleString()}").distinct()
+    return marks.join(one.join(found, key, "left_semi").select("digest"), "digest", "left_semi").select(key)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from paperlens.llm.answers import judge
 from paperlens.llm.endings import CUT, ENDS, OPEN, ending
 from paperlens.llm.nearcopy import similarity
-from paperlens.llm.truncation import cut_copies, settle, terminality
+from paperlens.llm.truncation import aligned, cut_copies, settle, terminality
 
 
 def test_endings():
@@ -35,6 +35,25 @@ def test_copies(spark):
     assert cut_copies(spark.createDataFrame([], "id long, text string")).count() == 0
 
 
+def test_family_of_copies(spark):
+    """The longest text of a bucket has another ending; the one that goes on has an edit in the last characters before the cut."""
+    body = " ".join(f"word{i} stands{i * 7 % 40} here{i % 13}" for i in range(700))
+    whole = body + " and it lowers the final error of all models here by 47.78 points."
+    cut = whole[: whole.index("78 points")]
+    edited = cut.replace("models here", "models there")
+    others = [f"{body} in other words at length {i} of a family that has endings of its own kinds." for i in range(12)]
+    rows = list(enumerate([whole, cut, edited, whole, cut, *others]))
+    assert {r.id for r in cut_copies(spark.createDataFrame(rows, "id long, text string")).collect()} == {1, 2, 4}
+
+
+def test_aligned():
+    text = "The loss falls by 4.5 points. In the end the loss falls by 4.5 points again."
+    assert aligned("The loss falls by 4.", text) == 20
+    assert aligned("The loss falls by 4.5 points. In the end the loss falls by 4.", text) == 61
+    assert aligned("The loss fell by 4.", text) == 20
+    assert aligned("Nothing of the kind is said", text) == -1
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "It stops in the"), (2, None), (3, "Fine."), (4, "")], "id long, defect string")
     got = {r.id: r.defect for r in judge(df, "id", {"a": (F.col("defect"), False)}, F.lit(""), F.lit("")).collect()}
