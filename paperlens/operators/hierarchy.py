@@ -176,8 +176,7 @@ def paths(nodes: DataFrame, chunk: int = 4096) -> DataFrame:
     return rows.select("root", "part", "id", "depth", "own", "entry").mapInPandas(walk, "id long, path array<long>")
 
 
-def descendants(nodes: DataFrame, of: DataFrame) -> DataFrame:
-    """All nodes below each id of `of`(id): rows (id, below), by the intervals of `hierarchy`."""
-    a = nodes.join(of.select("id").distinct(), "id").where("n_below > 0").select("root", "id", F.col("entry").alias("lo"), F.col("exit").alias("hi"))
-    b = nodes.where("entry is not null").select("root", F.col("id").alias("below"), F.col("entry").alias("at"))
-    return a.join(b, "root").where("at > lo and at <= hi").select("id", "below")
+def descendants(nodes: DataFrame, of: DataFrame | None = None, chunk: int = 4096) -> DataFrame:
+    """All nodes below each id, or each id of `of`(id): rows (id, below), from the ancestors that `paths` gives of every node."""
+    every = paths(nodes, chunk).where("size(path) > 1").select(F.explode(F.expr("slice(path, 1, size(path) - 1)")).alias("id"), F.col("id").alias("below"))
+    return every if of is None else every.join(of.select("id").distinct(), "id", "left_semi")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlens.operators.hierarchy import hierarchy, paths
+from paperlens.operators.hierarchy import descendants, hierarchy, paths
 from paperlens.session import table
 
 
@@ -27,6 +27,10 @@ def p1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths(_nodes(spark, sf_dir)).select("id", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
 
 
+def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descendants(_nodes(spark, sf_dir))
+
+
 _LATEST = "with recursive c as (select distinct id, parent_id from paper_comments where id is not null)"
 _DOWN = """, down as (
   select id, id as root, 0 as depth, parent_id is not null as lost, cast(id as varchar) as path from c
@@ -42,7 +46,7 @@ _FOUND = """select id, 'dangling' as kind from down where lost
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_paths": p1_paths}
+    return {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_paths": p1_paths, "p1_descendants": p1_descendants}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -55,5 +59,7 @@ def oracle_sql() -> dict[str, str]:
           select d.id, case when lost then 'dangling' when depth = 0 then 'root' else 'node' end as kind, root, cast(depth as bigint) as depth, coalesce(n, 0) as n_below
           from down d left join below b on d.id = b.id
           union all select id, kind, null, null, null from ({_FOUND}) where kind <> 'dangling'""",
+        "p1_descendants": f"""{_LATEST}{_DOWN}, up as (select id, parent_id as pos from c where id in (select id from down) and parent_id in (select id from c)
+          union all select up.id, c.parent_id from up join c on up.pos = c.id where c.parent_id in (select id from c)) select pos as id, id as below from up""",
         "p1_paths": f"{_LATEST}{_DOWN} select id, path from down",
     }

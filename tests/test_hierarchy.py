@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from paperlens.operators.components import components
 from paperlens.operators.hierarchy import descendants, hierarchy, latest, paths
 
@@ -102,3 +104,15 @@ def test_components(spark):
     want = {x: find(x) for u, v in edges if u != v for x in (u, v)}
     assert {r.node: r.component for r in components(df).collect()} == want
     assert components(df.limit(0)).count() == 0
+
+
+def test_descendants_of_a_large_tree(spark, tmp_path):
+    """A star of 20,000 below a chain: all pairs of the tree would be 400 million."""
+    from paperlens.plans.trees import queries
+
+    rows = [(0, None), (1, 0), (2, 1), *[(i, 2) for i in range(3, 20_003)], (30_000, 30_000)]
+    df = spark.createDataFrame([(i, p, i) for i, p in rows], "id long, parent_id long, updated_at long")
+    df.write.parquet(str(tmp_path / "paper_comments.parquet"))
+    got = queries()["p1_descendants"](spark, str(tmp_path))
+    assert got.columns == ["id", "below"]
+    assert {r.id: (r.n, r.low) for r in got.groupBy("id").agg(F.count("*").alias("n"), F.min("below").alias("low")).collect()} == {0: (20_002, 1), 1: (20_001, 2), 2: (20_000, 3)}
