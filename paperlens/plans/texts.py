@@ -119,7 +119,7 @@ def t25_captions(t: Tables) -> DataFrame:
 @query("t23_caption_kinds")
 def t23_caption_kinds(t: Tables) -> DataFrame:
     c = F.col("text")
-    return _docs(t).select("doc_id", text.looks_like_caption(c).alias("caption"), text.looks_like_caption_header(c).alias("header"), text.panel_label(c).alias("panel"), text.caption_number(F.substring(c, 1, 200)).alias("number"))
+    return _docs(t).select("doc_id", text.looks_like_caption(c).alias("caption"), text.looks_like_caption_header(c).alias("header"), text.panel_label(c).alias("panel"), text.caption_number(c).alias("number"))
 
 
 @query("t27_labels", "select doc_id, regexp_matches(trim(text, ' '), '^\\d+\\.\\s+\\w+') as numbered from documents where text is not null")

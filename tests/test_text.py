@@ -98,3 +98,10 @@ def test_edits(spark):
     df = spark.createDataFrame([("a  b c", "a b", "X"), ("aa", "a", "X"), ("abc", "z", "X"), (None, "a", "b"), ("x", "", "y")], "t string, o string, n string")
     got = [(r.e.status, r.e.text) for r in df.select(markdown.apply_edit("t", "o", "n").alias("e")).collect()]
     assert got == [("applied", "X c"), ("ambiguous", "aa"), ("missing", "abc"), ("missing", None), ("missing", "x")]
+
+
+def test_caption_number_anywhere_in_a_document(spark, tmp_path):
+    from paperlens.plans.texts import queries
+
+    spark.createDataFrame([(1, "word " * 200 + "see Table 7."), (2, "no number " * 50), (3, "Figure 2: x")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.number for r in queries()["t23_caption_kinds"](spark, str(tmp_path)).collect()} == {1: "T:7", 2: None, 3: "F:2"}
