@@ -20,14 +20,14 @@ def brute(rows, least=1):
     return {(a, b, n, items[a], items[b], len(baskets)) for (a, b), n in pairs.items() if n >= least}
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_against_brute_force(spark, block):
+@pytest.mark.parametrize("block, wide", [(1024, 100_000), (3, 100_000), (1024, 2), (4, 3)])
+def test_against_brute_force(spark, block, wide):
     rng = random.Random(1)
     rows = [(rng.randrange(30), rng.choice("abcdefghijklm") * rng.choice((1, 2))) for _ in range(250)]
     rows += [(1, None), (None, "a"), (99, None), (2, "a"), (2, "a"), (3, "")] + [(7, f"only{i}") for i in range(20)]
     df = spark.createDataFrame(rows, "basket int, item string")
     for least in (1, 3):
-        got = {tuple(r)[:6] for r in cooccurrence(df, "basket", "item", least, block=block).collect()}
+        got = {tuple(r)[:6] for r in cooccurrence(df, "basket", "item", least, block=block, wide=wide).collect()}
         assert got == brute(rows, least)
 
 
@@ -42,3 +42,11 @@ def test_score_and_names(spark):
 def test_tags(spark):
     df = spark.createDataFrame([("  Graph \t  Learning ",), ("GRAPH LEARNING",)], "t string")
     assert {r[0] for r in df.select(normalise_tag(F.col("t"))).collect()} == {"graph learning"}
+
+
+def test_stripes_travel_whole(spark):
+    """No pair is formed before the stripes of an item have met."""
+    df = spark.createDataFrame([(i % 7, f"t{i % 5}") for i in range(70)], "b int, i string")
+    plan = cooccurrence(df, "b", "i")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("RepartitionByExpression")]
+    assert "Generate" not in plan[plan.index("RepartitionByExpression") :].split("MapInArrow")[0] and above.count("MapInArrow") == 1
