@@ -12,7 +12,7 @@ from paperlens.llm.cooccur import cooccurrence, normalise_tag
 from paperlens.llm.encode import encode_column
 from paperlens.llm.names import entities, name_pairs
 from paperlens.llm.pack import pack
-from paperlens.llm.spans import shared_runs, span_pairs, span_shares
+from paperlens.llm.spans import shared_runs, span_classes, span_pairs, span_shares
 from paperlens.llm.truncation import cut_copies, settle, terminality
 from paperlens.operators.hierarchy import latest
 from paperlens.session import materialize, table
@@ -119,13 +119,19 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_pairs(shared_runs(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each set of documents with a passage in common: its documents and their number. A set is named by its least document and a hash."""
+    members, sets = span_classes(shared_runs(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return members.join(sets, ["h", "class"]).select(F.concat_ws("-", "h", "class").alias("class_id"), F.col("doc").alias("doc_id"), F.col("n").alias("n_documents"))
+
+
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return span_shares(documents, shared_runs(documents, "doc_id", "text"), "doc_id", "text").select(F.col("doc").alias("doc_id"), "n_chars", "n_shared", F.round("share", 6).alias("share"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_entities, p4_found, p4_shares, p5_found, p6_ids, p7_containers, p8_found, p8_shares)}
+    return {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_entities, p4_found, p4_shares, p5_found, p6_ids, p7_containers, p8_found, p8_classes, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -138,7 +144,15 @@ def oracle_sql() -> dict[str, str]:
         return f"case when ({k}) > 0 then ({k}) * ln(cast({k} as double) * n / (cast({row} as double) * ({col}))) else 0 end"
 
     llr = " + ".join([part("n_ab", "n_a", "n_b"), part("n_a - n_ab", "n_a", "n - n_b"), part("n_b - n_ab", "n - n_a", "n_b"), part("n - n_a - n_b + n_ab", "n - n_a", "n - n_b")])
+    # the distinct windows of every document, and the sets of documents that have one in common
+    windows = """with w as (select doc_id, i, md5(substring(text, i, 200)) as s from (select doc_id, text, unnest(range(1, length(text) - 198)) as i from documents where length(text) >= 200)),
+      g as (select distinct list_sort(list(distinct doc_id)) as ds from w group by s having count(distinct doc_id) > 1)"""
     return {
+        "p8_found": f"{windows}, x as (select ds, unnest(ds) as doc_a from g), y as (select doc_a, unnest(ds) as doc_b from x) select distinct doc_a, doc_b from y where doc_a < doc_b",
+        "p8_shares": f"""{windows}, m as (select s from w group by s having count(distinct doc_id) > 1), k as (select doc_id, i from w where s in (select s from m)),
+          c as (select doc_id, cast(sum(n) as bigint) as n from (select doc_id, least(200, coalesce(lead(i) over (partition by doc_id order by i) - i, 200)) as n from k) group by doc_id)
+          select d.doc_id, coalesce(length(text), 0) as n_chars, coalesce(n, 0) as n_shared, round(case when length(text) > 0 then coalesce(n, 0) / length(text) else 0 end, 6) as share
+          from documents d left join c on c.doc_id = d.doc_id""",
         "p2_found": f"{tags} select tag_a, tag_b from x where n_ab >= 4 and n_ab * 1000 >= n and n_ab * n >= 6 * n_a * n_b",
         "p2_pairs": f"""{tags} select tag_a, tag_b, n_ab, n_a, n_b, round(cast(n_ab as double) * n / (cast(n_a as double) * n_b), 4) as ratio,
           round((case when cast(n_ab as double) * n < cast(n_a as double) * n_b then -1 else 1 end) * 2 * ({llr}), 3) + 0.0 as llr from x""",

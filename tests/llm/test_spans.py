@@ -3,7 +3,10 @@ from collections import defaultdict
 
 import pytest
 
-from paperlens.llm.spans import shared_runs, span_pairs, span_shares
+import numpy as np
+
+import paperlens.llm.spans as spans_module
+from paperlens.llm.spans import _chars, _numbers, shared_runs, span_classes, span_pairs, span_shares
 
 
 def brute(docs, k):
@@ -34,7 +37,7 @@ def test_against_brute_force(spark, hot):
     df = spark.createDataFrame([(a, b, "clash") for a, b in rows], "doc long, text string, start string")
     pairs, shares = brute(docs, k)
     runs = shared_runs(df, "doc", "text", k, m=8, hot=hot)
-    assert {tuple(r) for r in span_pairs(runs).collect()} == pairs
+    assert {tuple(r) for r in span_pairs(runs, block=3).collect()} == pairs
     got = {r.doc: r for r in span_shares(df, runs, "doc", "text", k).collect()}
     assert {d: r.n_shared for d, r in got.items() if d != 200} == shares
     assert got[200].n_chars == 0 and got[200].share == 0.0
@@ -69,3 +72,37 @@ def test_long_text_in_segments(spark, monkeypatch):
     runs = shared_runs(df, "doc", "text", 50, m=16)
     assert [tuple(r) for r in span_pairs(runs).collect()] == [(1, 2)]
     assert {r.doc: r.n_shared for r in span_shares(df, runs, "doc", "text", 50).collect()} == {1: 400, 2: 400}
+
+
+def test_windows_are_compared_as_text(monkeypatch):
+    """Windows with equal hashes and different texts get different numbers."""
+    text = "abcdefghij" * 3 + "abcdefghiX"
+    chars = _chars(text)
+    at = np.arange(len(text) - 4)
+    want: dict[str, set[int]] = {}
+    for i in at:
+        want.setdefault(text[i : i + 5], set()).add(i)
+    real = spans_module._gram_hash
+    for hashing in (real, lambda chars, n: real(chars, n) % np.uint64(3)):
+        monkeypatch.setattr(spans_module, "_gram_hash", hashing)
+        got: dict[int, set[int]] = {}
+        for i, n in zip(at, _numbers(chars, at, np.zeros(len(at), dtype=np.int64), 5)):
+            got.setdefault(int(n), set()).add(int(i))
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_hot_bucket_grows_in_proportion(spark):
+    """The rows that leave a hot bucket are as many as its windows, not as the square of its strings."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    sizes = []
+    for n in (40, 400):
+        df = spark.createDataFrame([(h, i.to_bytes(16, "big"), word(14) + "z" * 8 + word(14)) for h in (1,) for i in range(n)], "h long, digest binary, s string")
+        sizes.append(df.mapInArrow(spans_module._windows(20), "h long, digest binary, lo long, w binary, token long").count())
+    assert sizes[1] == 10 * sizes[0] == 400 * 17
+
+
+def test_classes(spark):
+    df = spark.createDataFrame([(i, "the same passage in all of these texts") for i in range(30)] + [(99, "another text of its own entirely here")], "doc long, text string")
+    members, sets = span_classes(shared_runs(df, "doc", "text", 20, m=8))
+    assert [r.n for r in sets.collect()] == [30] and members.count() == 30
