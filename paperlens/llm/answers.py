@@ -141,6 +141,11 @@ def is_refusal(text: str, lead: int = 3) -> bool:
     return False
 
 
+def asked_for(language_: str, comment: str) -> bool:
+    """Whether a comment asks for an answer in that language."""
+    return language_ in _ASKED and _ASKED[language_].search(comment) is not None
+
+
 def _lcs(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence, by bit-parallel columns."""
     places: dict[str, int] = {}
@@ -178,30 +183,32 @@ def is_copy(answer: str, prompt: str, back: float = 0.8, own: int = 2, n: int =
     return left <= own and _lcs(p, a[: 2 * len(p) + 8]) >= back * len(p)
 
 
-def defect(answer: str | None, comment: str | None, old: str | None, new_text: bool, speech: bool = True) -> tuple[str, str, str]:
-    """(defect, kind of last line, closing word). The defect is `open` where the closing word must tell whether the answer is cut.
+def defect(answer: str | None, comment: str | None, old: str | None, new_text: bool, speech: bool = True) -> tuple[str, str, str, str]:
+    """(defect, kind of last line, closing word, defect if it isn't cut).
 
+    The defect is `open` where the closing word must tell whether the answer is cut; then the last item holds if it is not.
     Without `speech` languages aren't compared.
     """
     comment, old = comment or "", old or ""
     if is_empty(answer):
-        return ("" if DELETE.search(comment) else "empty"), "", ""
+        return ("" if DELETE.search(comment) else "empty"), "", "", ""
     if is_copy(answer, comment) or new_text and is_copy(answer, old, 0.95, own=0):
-        return "copy", "", ""
+        return "copy", "", "", ""
     if is_refusal(answer):
-        return "refusal", "", ""
+        return "refusal", "", "", ""
     verdict, kind, word = ending(answer)
-    if verdict == CUT or verdict == OPEN and kind != "list":
-        return "truncated", kind, word
+    if verdict == CUT:
+        return "truncated", kind, word, ""
+    other = ""
     if speech:
         said, meant = language(answer), language(old if new_text else comment, short=True)
-        if said and meant and said != meant and not _ASKED[said].search(comment):
-            return "language", kind, word
-    return ("open" if verdict == OPEN else ""), kind, word
+        if said and meant and said != meant and not asked_for(said, comment):
+            other = "language"
+    return ("open", kind, word, other) if verdict == OPEN else (other, kind, word, "")
 
 
 def judge(df: DataFrame, key: str, answers: dict[str, tuple[Column, bool]], comment: Column, old: Column, speech: bool = True) -> DataFrame:
-    """Rows (key, answer, defect, kind, word) of every answer with a defect, or with an open end.
+    """Rows (key, answer, defect, kind, word, other) of every answer with a defect, or with an open end.
 
     answers: name -> (column, whether it is a rewriting of `old`). Nulls are empty answers; null prompts count as empty texts.
     """
@@ -219,12 +226,12 @@ def judge(df: DataFrame, key: str, answers: dict[str, tuple[Column, bool]], comm
                 rows = [r for r in rows if r[1]]
                 at = pa.array([r[0] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(at), pa.array([name] * len(rows), pa.string()), *[pa.array([r[k] for r in rows], pa.string()) for k in (1, 2, 3)]],
-                    [key, "answer", "defect", "kind", "word"],
+                    [keys.take(at), pa.array([name] * len(rows), pa.string()), *[pa.array([r[k] for r in rows], pa.string()) for k in (1, 2, 3, 4)]],
+                    [key, "answer", "defect", "kind", "word", "other"],
                 )
 
     columns = [comment, old]
     for column, new in answers.values():
         columns += [column, (F.length(old) > 0) if new else F.lit(True)]
     flat = df.select(key, *[c.alias(f"_c{i}") for i, c in enumerate(columns)])
-    return flat.mapInArrow(run, f"`{key}` {kind}, answer string, defect string, kind string, word string")
+    return flat.mapInArrow(run, f"`{key}` {kind}, answer string, defect string, kind string, word string, other string")

@@ -71,12 +71,14 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cut(texts: DataFrame) -> DataFrame:
-    """Ids of the cut texts."""
+    """(id, by) of the cut texts; `by` tells what showed it."""
     judged = materialize(judge(texts, "id", {"text": (F.col("text"), False)}, F.col("comment"), F.lit(""), speech=False))
-    closing = settle(judged.where("defect = 'open'"), terminality(texts)).where("cut").select("id")
     other = judged.where("defect not in ('truncated', 'open')").select("id")
-    copies = cut_copies(texts).join(other, "id", "left_anti")
-    return judged.where("defect = 'truncated'").select("id").unionByName(closing).unionByName(copies).distinct()
+    copies = materialize(cut_copies(texts).join(other, "id", "left_anti"))
+    # closing words score what has no near-copy that tells
+    closing = settle(judged.where("defect = 'open'").join(copies, "id", "left_anti"), terminality(texts)).where("cut")
+    parts = [copies.withColumn("by", F.lit("copy")), judged.where("defect = 'truncated'").join(copies, "id", "left_anti").select("id", F.lit("structure").alias("by")), closing.select("id", F.lit("closing word").alias("by"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).dropDuplicates(["id"])
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,11 +86,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("id", "field", "record_id").join(_cut(texts), "id", "left_semi").select("field", "record_id")
 
 
+def p4_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of cut texts by field and by what showed that they are."""
+    texts = _texts(spark, sf_dir)
+    return texts.select("id", "field").join(_cut(texts), "id").groupBy("field", "by").agg(F.count("*").alias("n"))
+
+
 def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per field and source_type: texts, cut texts and their share; `none` stands for papers that are gone."""
     texts = _texts(spark, sf_dir)
     sources = table(spark, sf_dir, "papers").groupBy(F.col("id").alias("paper_id")).agg(F.max("source_type").alias("source_type"))
-    rows = texts.select("id", "field", "paper_id").join(_cut(texts).withColumn("cut", F.lit(1)), "id", "left").join(sources, "paper_id", "left")
+    rows = texts.select("id", "field", "paper_id").join(_cut(texts).select("id", F.lit(1).alias("cut")), "id", "left").join(sources, "paper_id", "left")
     return rows.groupBy("field", F.coalesce("source_type", F.lit("none")).alias("source_type")).agg(F.count("*").alias("n"), F.count("cut").alias("n_cut"), F.round(F.count("cut") / F.count("*"), 6).alias("share"))
 
 
@@ -97,8 +105,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = {"ai_reply": (F.col("ai_reply"), False), "ai_new_text": (F.col("ai_new_text"), True)}
     judged = materialize(judge(comments, "id", answers, F.coalesce("comment", F.lit("")), F.coalesce("ai_old_text", F.lit(""))))
     texts = comments.select(F.explode(F.array("ai_reply", "ai_new_text")).alias("text")).where("text is not null")
-    cut = settle(judged.where("defect = 'open'"), terminality(texts)).where("cut").select("id", "answer", F.lit("truncated").alias("defect"))
-    return judged.where("defect <> 'open'").select("id", "answer", "defect").unionByName(cut)
+    open_ = settle(judged.where("defect = 'open'"), terminality(texts)).select("id", "answer", F.when(F.col("cut"), "truncated").otherwise(F.col("other")).alias("defect"))
+    return judged.where("defect <> 'open'").select("id", "answer", "defect").unionByName(open_.where("defect <> ''"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +139,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_entities, p4_found, p4_shares, p5_found, p6_ids, p7_containers, p8_found, p8_classes, p8_shares)}
+    return {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_entities, p4_found, p4_shares, p4_evidence, p5_found, p6_ids, p7_containers, p8_found, p8_classes, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:

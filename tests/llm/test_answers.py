@@ -18,7 +18,7 @@ def test_empty(text):
     "answer, want",
     [
         ("It drops by 3 points.", ""), ("No.", ""), ("42", ""), ("See Table 2.", ""),
-        ("It drops by 3 points, whereas the", "truncated"), ("I'm sorry, but I can't help with that request. Is there anything else I can do?", "refusal"),
+        ("It drops by 3 points, whereas the", "open"), ("I'm sorry, but I can't help with that request. Is there anything else I can do?", "refusal"),
         ("I'm sorry, I misread the caption earlier; here is the corrected version. It drops by 3.", ""), ("I cannot see a contradiction here. It drops.", ""),
         ("抱歉，我无法回答该问题。", "refusal"), ("Lo siento, no puedo ayudarte con eso.", "refusal"), ("Leider darf ich dabei nicht helfen.", "refusal"), ("Désolé, je ne peux pas vous aider sur ce point.", "refusal"),
         ("what  happens to RECALL if the memory buffer is left out", "copy"), ("Question: What happens to recall if the memory buffer is left out?!", "copy"), ("> What happens to recall if the memory buffer is left out?\n\nWhat happens to recall if the memory buffer is left out?", "copy"),
