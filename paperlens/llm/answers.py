@@ -1,8 +1,8 @@
 """Broken prompt and response pairs: empty, truncated, refusing, copying, or in another language.
 
 Copies are found by aligning the tokens of answer and prompt: shingles of the answer that the prompt contains cover its tokens, and
-the longest common subsequence tells how much of the prompt comes back. Refusals are found by aligning the first sentences
-with templates of refusals.
+the longest common subsequence tells how much of the prompt comes back. Refusals are found by aligning every sentence with templates
+of refusals (see `refusals`).
 """
 
 from __future__ import annotations
@@ -15,88 +15,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlens.llm.endings import CUT, OPEN, ending
+from paperlens.llm.refusals import is_refusal
 from paperlens.llm.words import language, tokens
 
 # What stands in place of an answer.
 PLACEHOLDERS = "null none nil nan n/a na tbd todo undefined empty placeholder answer reply response antwort réponse reponse respuesta 回复 回答 答复 答案 无 暂无"
 _PLACEHOLDERS = frozenset(PLACEHOLDERS.split())
+_LONGEST = max(map(len, _PLACEHOLDERS))
+_AROUND = "*_`#>:：[](){}<>\"' \t\r\n　"
 _MARKUP = re.compile(r"<[^<>]*>|&\w+;|[​-‏⁠﻿]")
 
-# Phrases in which an answer declines; each is aligned word by word, with up to two other words between its words.
-# A word ending in * stands for all words that begin so; alternatives are set apart by a slash.
-REFUSALS = """
-can't/cannot/couldn't help/assist/provide/answer/comply/fulfil/fulfill/comment/discuss/do/continue/complete/carry
-not able/allowed/permitted to help/assist/provide/answer/comply/fulfil/fulfill/comment/discuss/do/continue/complete/carry
-unable to help/assist/provide/answer/comply/fulfil/fulfill/comment/discuss/do/continue/complete/carry
-won't be able to
-won't help/assist/provide/answer/comment/discuss
-not possible for me to
-don't/not feel comfortable
-must/have decline
-i decline
-i'd/would rather not
-no comment on
-no comment from
-falls outside what i may/can
-outside what i may/can
-instructions don't/forbid/prohibit
-not something i can/may
-would have to ask the authors
-you should ask the authors
-i leave it at that
-i'll leave it at that
-against my guidelines/instructions/policy
-as a language model i can't/cannot/won't
-kann/darf ich nicht
-kann/darf ich nichts
-kann/darf nicht helfen/beantworten/antworten/kommentieren
-kann/darf dabei nicht
-kann/darf diese frage nicht
-kann/darf nichts sagen
-darf nicht
-möchte ich nicht
-ne peux/puis pas
-ne suis pas en mesure
-refuse de répondre/commenter
-impossible de répondre/vous
-no puedo
-no me es posible
-no estoy autorizad*
-prefiero no
-"""
-# The same for Chinese, where characters may stand between the parts.
-REFUSALS_ZH = """
-无法|回答/提供/完成/协助/评论/处理/满足
-不能|协助/提供/回答/评论/帮/完成/满足
-没有办法|完成/回答/提供/协助/评论
-没法|完成/回答/提供/协助/评论
-不便|评论/回答/透露/提供
-恕|不能/无法/难/不便
-我不会|改动/修改/回答/讨论/处理
-超出了我|范围
-违反了我的|准则
-我就不作答
-不作答
-事我不谈
-换个话题
-拒绝|回答/提供/执行
-请直接询问作者
-"""
-
-
-def _template(line: str) -> re.Pattern[str]:
-    parts = ["(?:" + "|".join(re.escape(w).replace(r"\*", r"[^\W_]*") for w in slot.split("/")) + ")" for slot in line.split()]
-    return re.compile(r"\b" + r"\b\W+(?:[^\W_][\w']*\W+){0,2}?".join(parts) + r"\b")
-
-
-_REFUSALS: dict[str, list[re.Pattern[str]]] = {}  # by the words a template may begin with
-for _line in REFUSALS.strip().split("\n"):
-    for _word in _line.split()[0].split("/"):
-        _REFUSALS.setdefault(_word, []).append(_template(_line))
-_REFUSALS_ZH = re.compile("|".join("[^。！？]{0,6}?".join("(?:" + x.replace("/", "|") + ")" for x in line.split("|")) for line in REFUSALS_ZH.strip().split("\n")))
-_SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|\n+")
 _WORD = re.compile(r"[^\W_]")
-_LATIN_WORD = re.compile(r"[a-zà-ÿ][a-zà-ÿ']*")
 
 # What asks for another language, or to delete something.
 ASKED = {
@@ -105,6 +34,12 @@ ASKED = {
     "de": r"\b(?:in|into|to) german\b|德文|德语|auf deutsch|ins deutsche|en allemand|en alemán|al alemán",
     "fr": r"\b(?:in|into|to) french\b|法文|法语|auf französisch|ins französische|en français|en francés|al francés",
     "es": r"\b(?:in|into|to) spanish\b|西班牙文|西班牙语|auf spanisch|ins spanische|en espagnol|en español|al español",
+    "it": r"\b(?:in|into|to) italian\b|意大利语|auf italienisch|en italien|en italiano|al italiano|in italiano",
+    "pt": r"\b(?:in|into|to) portuguese\b|葡萄牙语|auf portugiesisch|en portugais|en portugués|al portugués|em português",
+    "nl": r"\b(?:in|into|to) dutch\b|荷兰语|auf niederländisch|en néerlandais|en neerlandés|in het nederlands",
+    "ja": r"\b(?:in|into|to) japanese\b|日语|日文|auf japanisch|en japonais|en japonés|日本語で",
+    "ko": r"\b(?:in|into|to) korean\b|韩语|韩文|auf koreanisch|en coréen|en coreano|한국어로",
+    "ru": r"\b(?:in|into|to) russian\b|俄语|俄文|auf russisch|en russe|en ruso|по-русски",
 }
 _ASKED = {k: re.compile(v, re.I) for k, v in ASKED.items()}
 DELETE = re.compile(
@@ -119,26 +54,9 @@ def is_empty(text: str | None) -> bool:
     """Null, or nothing but blanks, punctuation, markup or a placeholder."""
     if text is None:
         return True
-    if len(text) > 2000 and _WORD.search(text, 0, 200) and not _MARKUP.search(text, 0, 200):
-        return False
     bare = _MARKUP.sub(" ", text)
-    if len(bare) < 200 and bare.strip().casefold().strip("*_`#>:：[](){}<>\"' ") in _PLACEHOLDERS:
-        return True
-    return not _WORD.search(bare)
-
-
-def is_refusal(text: str, lead: int = 3) -> bool:
-    """Whether one of the first `lead` sentences aligns with a template and the rest of the text, if any, is short."""
-    rest = text.strip()
-    for _ in range(lead):
-        sentence, rest = [*_SENTENCE.split(rest, maxsplit=1), ""][:2]
-        low = sentence.casefold().replace("’", "'")
-        templates = {id(t): t for w in _LATIN_WORD.findall(low) if w in _REFUSALS for t in _REFUSALS[w]}
-        if any(t.search(low) for t in templates.values()) or _REFUSALS_ZH.search(low):
-            return len(rest) <= 160
-        if not rest:
-            return False
-    return False
+    core = bare.strip(_AROUND)
+    return len(core) <= _LONGEST and core.casefold() in _PLACEHOLDERS or not _WORD.search(bare)
 
 
 def asked_for(language_: str, comment: str) -> bool:
@@ -180,7 +98,7 @@ def is_copy(answer: str, prompt: str, back: float = 0.8, own: int = 2, n: int =
         if tuple(a[i : i + n]) in known:
             covered[i : i + n] = b"\1" * n
     left = sum(1 for t, c in zip(a, covered) if not c and t not in LEAD_IN)
-    return left <= own and _lcs(p, a[: 2 * len(p) + 8]) >= back * len(p)
+    return left <= own and _lcs(p, a) >= back * len(p)
 
 
 def defect(answer: str | None, comment: str | None, old: str | None, new_text: bool, speech: bool = True) -> tuple[str, str, str, str]:

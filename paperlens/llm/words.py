@@ -17,8 +17,19 @@ FUNCTION_WORDS = {
     "fr": "le les des du de un une et ou est sont n'est pas ne que qui quoi dans pour par sur avec sans au aux ce cet cette ces il elle on nous vous se sa son ses leur plus alors dont où si mais après lorsque quand comment pourquoi tandis celui entre même déjà oui non seulement l'on c'est qu'une qu'un d'une d'un toujours cependant donc ainsi pendant depuis jusqu avant très chaque tous toutes autre cela comme a à dès lors été reste",
     "es": "el los las del de un una unos y o es son no que quien en para por con sin al lo se su sus más pero cuando cómo como qué porque mientras si ya entre este esta estos esto solo sólo desde hasta sobre cada sí está después donde dónde sigue hay ante según tras la sin embargo además durante cada todos todas otro otra esa ese eso muy a fue queda",
 }
+# The same of languages that answers may stray into; words that they share with the others count half.
+OTHER_WORDS = {
+    "it": "il lo gli che non è della dello degli delle nel nella sono una per con più dei del questo questa anche come ma di da si alla al sul sulla tra ogni molto poi perché quando senza dopo prima e",
+    "pt": "o os as um uma não é são do da dos das no na nos nas ao à pelo pela com para que se por mais mas como também muito este esta isso seu sua entre sobre até já quando sem depois antes ou e foi ser",
+    "nl": "het een en van niet is zijn op te dat die met voor aan ook als maar door bij naar uit over nog wordt worden deze dit geen wel meer heeft hebben omdat zonder na tussen zeer de dan of om",
+}
+_OTHER = {language: frozenset(words.split()) for language, words in OTHER_WORDS.items()}
+_OTHER_LETTERS = {"pt": frozenset("ãõ")}
+# Letters of scripts that tell a language.
+SCRIPTS = {"ja": re.compile("[぀-ヿ]"), "ko": re.compile("[가-힯]"), "ru": re.compile("[Ѐ-ӿ]")}
 _WORDS = {language: frozenset(words.split()) for language, words in FUNCTION_WORDS.items()}
 _SHARED = {"en": frozenset({"a", "once", "on"}), "fr": frozenset({"la", "de", "un", "que", "se", "si", "es", "les", "a", "on"}), "es": frozenset({"la", "de", "un", "que", "se", "si", "a"})}
+_KNOWN = frozenset().union(*_WORDS.values())
 _LETTERS = {"de": frozenset("äöüß"), "fr": frozenset("èêàùçœîôû"), "es": frozenset("ñ¿¡íóú")}
 
 
@@ -28,9 +39,15 @@ def tokens(text: str) -> list[str]:
 
 
 def language(text: str, short: bool = False) -> str | None:
-    """en, de, fr, es or zh; None where the text doesn't tell. With `short` one function word tells for a few words."""
+    """en, de, fr, es, zh, it, pt, nl, ja, ko or ru; None where the text doesn't tell. With `short` one function word tells for a few words."""
     bare = NAME.sub(" ", text)
     han = len(HAN.findall(bare))
+    if not bare.isascii():
+        for script, letters in SCRIPTS.items():
+            found = len(letters.findall(bare))
+            # Japanese is written with Chinese characters as well
+            if found >= 2 and 2 * (found + (han if script == "ja" else 0)) >= sum(map(str.isalpha, bare)) and (script != "ja" or 8 * found >= han):
+                return script
     words = LATIN.findall(HAN.sub(" ", bare).casefold().replace("’", "'"))
     latin = len(words)
     if han >= 2 and han >= latin:
@@ -49,6 +66,12 @@ def language(text: str, short: bool = False) -> str | None:
             score["fr"] += 1.0
     ranked = sorted(score, key=lambda k: (-score[k], k))
     best, second = score[ranked[0]], score[ranked[1]]
+    for k, known in _OTHER.items():
+        there = [w for w in words if w in known]
+        distinct = len({w for w in there if w not in _KNOWN})
+        letters = sum(1.5 for w in words if not _OTHER_LETTERS.get(k, frozenset()).isdisjoint(w))
+        if distinct >= 2 and letters + sum(0.5 if w in _KNOWN else 1.0 for w in there) > best:
+            return k
     if short and latin <= 5 and best >= 1 and not second:
         return ranked[0]
     if best >= 2 and best >= 1.5 * second and best >= 0.08 * latin:

@@ -53,3 +53,21 @@ def test_table(spark):
     df = spark.createDataFrame(rows, "id long, comment string, ai_reply string, ai_old_text string, ai_new_text string").withColumn("defect", F.lit("clash"))
     out = judge(df, "id", {"ai_reply": (F.col("ai_reply"), False), "ai_new_text": (F.col("ai_new_text"), True)}, F.coalesce("comment", F.lit("")), F.coalesce("ai_old_text", F.lit("")))
     assert {(r.id, r.answer, r.defect) for r in out.collect()} == {(1, "ai_reply", "empty"), (2, "ai_new_text", "copy")}
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Il modello perde tre punti perché la memoria non è più disponibile nella seconda fase.", "it"), ("O modelo perde três pontos porque a memória não está disponível na segunda fase.", "pt"), ("Het model verliest drie punten omdat het geheugen niet meer wordt gebruikt.", "nl"),
+        ("このモデルは第二段階で性能が下がります。", "ja"), ("이 모델은 두 번째 단계에서 성능이 떨어집니다.", "ko"), ("Модель теряет три пункта на втором этапе.", "ru"), ("The model loses three points since the memory isn't there in the second phase.", "en"),
+        ("Das Modell verliert drei Punkte, weil der Speicher in der zweiten Phase fehlt.", "de"), ("Le modèle perd trois points parce que la mémoire manque dans la seconde phase.", "fr"), ("El modelo pierde tres puntos porque la memoria no está en la segunda fase.", "es"), ("模型在第二阶段下降三个百分点。", "zh"),
+    ],
+)
+def test_languages(text, want):
+    assert language(text) == want
+
+
+def test_copy_after_repetitions():
+    """All of a long answer is aligned: the whole prompt comes only after a part of it was said again and again."""
+    part = " ".join(Q.split()[:5])
+    assert is_copy(" ".join([part] * 12) + " " + Q, Q)
