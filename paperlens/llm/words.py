@@ -20,7 +20,7 @@ FUNCTION_WORDS = {
 # The same of languages that answers may stray into; words that they share with the others count half.
 OTHER_WORDS = {
     "it": "il lo gli che non è della dello degli delle nel nella sono una per con più dei del questo questa anche come ma di da si alla al sul sulla tra ogni molto poi perché quando senza dopo prima e",
-    "pt": "o os as um uma não é são do da dos das no na nos nas ao à pelo pela com para que se por mais mas como também muito este esta isso seu sua entre sobre até já quando sem depois antes ou e foi ser",
+    "pt": "porque está pode cada todos o os as um uma não é são do da dos das no na nos nas ao à pelo pela com para que se por mais mas como também muito este esta isso seu sua entre sobre até já quando sem depois antes ou e foi ser",
     "nl": "het een en van niet is zijn op te dat die met voor aan ook als maar door bij naar uit over nog wordt worden deze dit geen wel meer heeft hebben omdat zonder na tussen zeer de dan of om",
 }
 _OTHER = {language: frozenset(words.split()) for language, words in OTHER_WORDS.items()}
