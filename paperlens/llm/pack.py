@@ -3,7 +3,8 @@
 Records are dealt at random to groups of bounded size, which are packed apart. A group starts from a best-fit packing; then
 the emptiest bin gives its records to other underfull bins, by moves, by exchanges of one record for one, or of two for one, each of
 which makes a fuller bin fuller still and so increases the sum of squared fills, until the bin is empty or nothing helps.
-What stays underfull in the groups is pooled and packed again, until it is one group or hardly shrinks.
+What stays underfull in the groups, by however little, is pooled and packed again in other company, until it is one group or a turn
+saves no more than one container in a thousand.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from paperlens.session import materialize
 
 GROUP = 5000
 NEIGHBOURS = 64
+GAIN = 0.001
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -39,7 +41,10 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def local_search(sizes: list[int], bins: list[list[int]], capacity: int, neighbours: int = NEIGHBOURS) -> list[list[int]]:
-    """Empty underfull bins by moves, one-for-one and two-for-one exchanges with the `neighbours` roomiest others."""
+    """Empty underfull bins by moves, one-for-one and two-for-one exchanges with other underfull bins.
+
+    The others are tried from the roomiest on, `neighbours` at a time; further ones only where those don't help, but then all of them.
+    """
     fill = [sum(sizes[i] for i in b) for b in bins]
     order = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: (fill[b], b))
     settled: set[int] = set()
@@ -47,7 +52,6 @@ def local_search(sizes: list[int], bins: list[list[int]], capacity: int, neighbo
         if not bins[source]:
             continue
         others = [b for b in order if b != source and bins[b] and b not in settled and fill[b] < capacity]
-        others = others[:neighbours]
         # emptying it needs at least its fill of room elsewhere
         if sum(capacity - fill[b] for b in others) < fill[source]:
             settled.add(source)
@@ -57,7 +61,9 @@ def local_search(sizes: list[int], bins: list[list[int]], capacity: int, neighbo
             progress = False
             for i in sorted(bins[source], key=lambda i: -sizes[i]):
                 x, best = sizes[i], None
-                for b in others:
+                for tried, b in enumerate(others):
+                    if tried % neighbours == 0 and best is not None:
+                        break
                     free = capacity - fill[b]
                     if free >= x:
                         cost = (0, free - x)
@@ -93,19 +99,20 @@ def local_search(sizes: list[int], bins: list[list[int]], capacity: int, neighbo
 
 
 def _packer(turn: int, last: bool, neighbours: int):
-    """Packs one group of one window; bins with over a tenth free are open for the next turn."""
+    """Packs one group of one window; bins with room are open for the next turn. `head` marks one row of each bin."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece"], kind="stable", ignore_index=True)
         sizes = pdf["tokens"].tolist()
         capacity, window, grp = int(pdf["capacity"].iloc[0]), pdf["window_id"].iloc[0], pdf["grp"].iloc[0]
-        name, free = [""] * len(sizes), [0] * len(sizes)
+        name, free, head = [""] * len(sizes), [0] * len(sizes), [False] * len(sizes)
         for k, b in enumerate(local_search(sizes, best_fit(sizes, capacity), capacity, neighbours)):
             room = capacity - sum(sizes[i] for i in b)
+            head[b[0]] = True
             for i in b:
                 name[i], free[i] = f"{turn}-{window}-{grp}-{k}", room
-        pdf["container_id"], pdf["open"] = name, [not last and f > capacity // 10 for f in free]
-        return pdf[["window_id", "capacity", "container_id", "doc_id", "piece", "start", "tokens", "grp", "open"]]
+        pdf["container_id"], pdf["open"], pdf["head"] = name, [not last and f > 0 for f in free], head
+        return pdf[["window_id", "capacity", "container_id", "doc_id", "piece", "start", "tokens", "grp", "open", "head"]]
 
     return run
 
@@ -124,28 +131,27 @@ def pack(items: DataFrame, windows: list[tuple[int, int]], group: int = GROUP, n
         "window_id", F.concat_ws("-", F.lit("whole"), "window_id", "doc_id", "piece").alias("container_id"), "doc_id", F.col("piece").cast("int"), (F.col("piece") * F.col("capacity")).alias("start"), F.col("capacity").alias("tokens"))
     rest = sized.select("window_id", "capacity", "doc_id", F.col("full").cast("int").alias("piece"), (F.col("full") * F.col("capacity")).alias("start"), (F.col("n") - F.col("full") * F.col("capacity")).alias("tokens")).where("tokens > 0")
     total = there.count()
-    done, held, count = [whole], total, max(1, -(-total // group))
-    todo, turn = rest.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(count))), 0
+    done, count = [whole], max(1, -(-total // group))
+    todo, turn, before = rest.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(count))), 0, None
+    schema = "window_id int, capacity long, container_id string, doc_id long, piece int, start long, tokens long, grp long, open boolean, head boolean"
+    columns = ["window_id", "container_id", "doc_id", "piece", "start", "tokens"]
     while True:
         last = count == 1
-
-        schema = "window_id int, capacity long, container_id string, doc_id long, piece int, start long, tokens long, grp long, open boolean"
         out = materialize(todo.select("window_id", "capacity", "doc_id", "piece", "start", "tokens", F.col("grp").cast("long")).groupBy("window_id", "grp").applyInPandas(_packer(turn, last, neighbours), schema))
-        columns = ["window_id", "container_id", "doc_id", "piece", "start", "tokens"]
         done.append(out.where("not open").select(columns))
         if last:
             break
+        bins, underfull = out.agg(F.sum(F.col("head").cast("int")), F.sum((F.col("head") & F.col("open")).cast("int"))).first()
         left = out.where("open")
-        pool = left.groupBy("window_id").count().agg(F.max("count")).first()[0] or 0
-        if pool > held // 2:  # most items meet nobody that fits: another turn wouldn't change that
-            done.append(left.select(columns))
+        if not underfull:
             break
-        if not pool:
+        if before is not None and before - bins <= GAIN * before:  # the same records in other company needed hardly fewer containers
+            done.append(left.select(columns))
             break
         # groups keep their bounded size, so what was open in many of them meets in few
-        held, count = pool, -(-pool // group)
-        turn += 1
-        todo = left.drop("container_id", "open").withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(count)))
+        pool = left.groupBy("window_id").count().agg(F.max("count")).first()[0]
+        before, count, turn = underfull, max(1, -(-pool // group)), turn + 1
+        todo = left.drop("container_id", "open", "head").withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(count)))
     result = done[0].withColumn("window_id", F.col("window_id").cast("int"))
     for part in done[1:]:
         result = result.unionByName(part)

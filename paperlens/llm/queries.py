@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperlens.llm.answers import judge
 from paperlens.llm.cooccur import cooccurrence, normalise_tag
-from paperlens.llm.encode import encode_column
+from paperlens.llm.encode import decode_column, encode_column
 from paperlens.llm.names import entities, name_pairs
 from paperlens.llm.pack import pack
 from paperlens.llm.spans import shared_runs, span_classes, span_pairs, span_shares
@@ -113,6 +113,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(table(spark, sf_dir, "documents"), "doc_id", "text", "byte_bpe_50k")
 
 
+def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, decoded from its ids."""
+    return decode_column(p6_ids(spark, sf_dir), "doc_id", "ids", "byte_bpe_50k")
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = table(spark, sf_dir, "context_windows").select("window_id", "tokenizer", "capacity").collect()  # a fixed table of 3 rows
     documents, out = table(spark, sf_dir, "documents"), None
@@ -123,6 +128,20 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def p7_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of every packing: documents packed, documents packed otherwise than once and whole, containers above their capacity,
+    documents split without need, and whether the containers are at most a hundredth more than their least possible number."""
+    windows = table(spark, sf_dir, "context_windows").select("window_id", F.col("capacity").cast("long").alias("capacity"))
+    rows = materialize(p7_containers(spark, sf_dir))
+    docs = rows.groupBy("window_id", "doc_id").agg(F.sum("tokens").alias("n"), F.count("*").alias("pieces"), F.max("piece").alias("last"), F.max(F.col("start") + F.col("tokens")).alias("end")).join(windows, "window_id")
+    each = docs.groupBy("window_id").agg(
+        F.count("*").alias("n_documents"), F.sum(((F.col("n") != F.col("end")) | (F.col("pieces") != F.col("last") + 1)).cast("int")).alias("n_wrong"), F.sum(((F.col("pieces") > 1) & (F.col("n") <= F.col("capacity"))).cast("int")).alias("n_split"), F.sum("n").alias("total"))
+    bins = rows.groupBy("window_id", "container_id").agg(F.sum("tokens").alias("fill")).join(windows, "window_id")
+    bins = bins.groupBy("window_id").agg(F.count("*").alias("n"), F.sum((F.col("fill") > F.col("capacity")).cast("int")).alias("n_over"), F.max("capacity").alias("capacity"))
+    tight = F.col("n") <= 1.01 * F.ceil(F.col("total") / F.col("capacity")) + 1
+    return each.join(bins, "window_id").select("window_id", "n_documents", "n_wrong", "n_split", "n_over", tight.alias("tight"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_pairs(shared_runs(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
@@ -139,7 +158,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_entities, p4_found, p4_shares, p4_evidence, p5_found, p6_ids, p7_containers, p8_found, p8_classes, p8_shares)}
+    return {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_entities, p4_found, p4_shares, p4_evidence, p5_found, p6_ids, p6_texts, p7_containers, p7_valid, p8_found, p8_classes, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -156,6 +175,10 @@ def oracle_sql() -> dict[str, str]:
     windows = """with w as (select doc_id, i, md5(substring(text, i, 200)) as s from (select doc_id, text, unnest(range(1, length(text) - 198)) as i from documents where length(text) >= 200)),
       g as (select distinct list_sort(list(distinct doc_id)) as ds from w group by s having count(distinct doc_id) > 1)"""
     return {
+        # an exact round trip
+        "p6_texts": "select doc_id, coalesce(text, '') as text from documents",
+        # every text that isn't empty has tokens
+        "p7_valid": "select window_id, (select count(*) from documents where text <> '') as n_documents, 0 as n_wrong, 0 as n_split, 0 as n_over, true as tight from context_windows",
         "p8_found": f"{windows}, x as (select ds, unnest(ds) as doc_a from g), y as (select doc_a, unnest(ds) as doc_b from x) select distinct doc_a, doc_b from y where doc_a < doc_b",
         "p8_shares": f"""{windows}, m as (select s from w group by s having count(distinct doc_id) > 1), k as (select doc_id, i from w where s in (select s from m)),
           c as (select doc_id, cast(sum(n) as bigint) as n from (select doc_id, least(200, coalesce(lead(i) over (partition by doc_id order by i) - i, 200)) as n from k) group by doc_id)

@@ -22,6 +22,8 @@ def test_swaps_empty_a_bin():
     sizes = [6, 5, 5, 4, 4, 6]
     bins = local_search(sizes, [[0, 3], [1, 4], [2], [5]], 10)
     assert len(bins) == 3
+    # the bin that helps isn't the roomiest one
+    assert len(local_search(sizes, [[0, 3], [1, 4], [2], [5]], 10, neighbours=1)) == 3
 
 
 def test_pack(spark):
