@@ -1,8 +1,9 @@
 """Variant spellings of names typed by people.
 
 Every name is rewritten to canonical forms by rules of case, marks, hyphens, titles, token order, nicknames, initials and legal forms;
-names that share a form are linked by an equi-join on it. A form counts by its rarity: one that several different people or
-organisations could be written as (an initial before a common family name, say) links nothing.
+names that share a form are linked by an equi-join on it. A form counts by its rarity: where a name has several forms that others
+use, those that mean one entity are taken together, and of different ones the rarest wins if it is much rarer than the next; one that
+several different people or organisations could be written as (an initial before a common family name, say) links nothing.
 
 A slip of the pen is a rewriting, too: a form with one letter replaced by a wildcard, left out, or swapped with the next. Two words that
 both stand beside many different others are two words, not one and a slip of it.
@@ -10,12 +11,13 @@ both stand beside many different others are two words, not one and a slip of it.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlens.operators.components import components
@@ -168,77 +170,122 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _spelled(form: str) -> str:
+    """A form as it travels: very long ones as a digest."""
+    return form if len(form) <= 80 else hashlib.blake2b(form.encode(), digest_size=16).hexdigest()
+
+
 def _slips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forms with one slip in either word: (form, exact, key, word). `exact` only for a key as it is typed, not rewritten."""
+    """Forms with one slip in either word: (form, how, exact, key, word). `exact` only for a name as it is typed, not rewritten."""
     for batch in batches:
-        form, exact, keys, words = [], [], [], []
-        for key, written in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        form, how, exact, keys, words = [], [], [], [], []
+        for key, written, typed in zip(*[batch.column(i).to_pylist() for i in range(3)]):
             x, y = written.split("|")
             for fixed, w in {(x, y), (y, x)}:
-                if len(w) < 2 or len(w) > 60:
+                if len(w) < 2:
                     continue
-                out = {f"{fixed}|{w}"}
-                out.update(f"{fixed}|{w[:i]}*{w[i + 1:]}" for i in range(len(w)))
-                out.update(f"{fixed}|{w[:i]}{w[i + 1:]}" for i in range(len(w)))
-                out.update(f"{fixed}|{i}:{w[:i]}{min(w[i:i + 2])}{max(w[i:i + 2])}{w[i + 2:]}" for i in range(len(w) - 1) if w[i] != w[i + 1])
-                form.extend(out), exact.extend(written == key and f == f"{fixed}|{w}" for f in out)
+                out = {(_spelled(f"{fixed}|{w}"), "as is")}
+                out.update((_spelled(f"{fixed}|{w[:i]}*{w[i + 1:]}"), "other letter") for i in range(len(w)))
+                out.update((_spelled(f"{fixed}|{w[:i]}{w[i + 1:]}"), "left out") for i in range(len(w)))
+                out.update((_spelled(f"{fixed}|{i}:{w[:i]}{min(w[i:i + 2])}{max(w[i:i + 2])}{w[i + 2:]}"), "swapped") for i in range(len(w) - 1) if w[i] != w[i + 1])
+                form.extend(f for f, _ in out), how.extend(h for _, h in out), exact.extend(typed and h == "as is" for _, h in out)
                 keys.extend([key] * len(out)), words.extend([w] * len(out))
-        yield pa.RecordBatch.from_arrays([pa.array(form, pa.string()), pa.array(exact, pa.bool_()), pa.array(keys, pa.string()), pa.array(words, pa.string())], ["form", "exact", "key", "word"])
+            if len(form) >= 100_000:
+                yield _slip_batch(form, how, exact, keys, words)
+                form, how, exact, keys, words = [], [], [], [], []
+        yield _slip_batch(form, how, exact, keys, words)
+
+
+def _slip_batch(form: list[str], how: list[str], exact: list[bool], keys: list[str], words: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(form, pa.string()), pa.array(how, pa.string()), pa.array(exact, pa.bool_()), pa.array(keys, pa.string()), pa.array(words, pa.string())], ["form", "how", "exact", "key", "word"])
 
 
 def _beside(either: DataFrame, words: DataFrame, times: int = 2, share: float = 0.3) -> DataFrame:
     """Familiar given names that the names tell by themselves: one that stands beside a family name again and again where the same
-    more frequent one does, in at least `times` families and `share` of its own."""
-    n = either.join(words, "word").join(words.select(F.col("word").alias("rest"), F.col("n").alias("n_rest")), "rest").where("n > n_rest and n >= 2").select("rest", "word", "n")
-    a, b = n.withColumnRenamed("word", "formal").withColumnRenamed("n", "n_formal"), n.withColumnRenamed("word", "familiar")
-    both = a.join(b, "rest").where("n_formal > n").groupBy("formal", "familiar").agg(F.count("*").alias("k"), F.max("n").alias("n"))
-    return both.where((F.col("k") >= times) & (F.col("k") >= share * F.col("n"))).select("formal", "familiar")
-
+    more frequent one does, in at least `times` families and `share` of its own.
 
-def entities(names: DataFrame, familiar: DataFrame, name: str = "name", established: int = 3, share: float = 0.2) -> DataFrame:
+    A pair must share so many families that it shares one of the familiar name's rarest, too; only those are joined, so that the
+    families everybody has form no pairs. The count of the candidates is exact.
+    """
+    n = either.select("word", "rest").distinct().join(words, "word").join(words.select(F.col("word").alias("rest"), F.col("n").alias("n_rest")), "rest").where("n > n_rest and n >= 2").select("rest", "word", "n")
+    n = materialize(n)
+    often = n.groupBy("rest").agg(F.count("*").alias("members"))
+    sizes = n.groupBy("word").agg(F.count("*").alias("size"), F.max("n").alias("n_all")).withColumn("least", F.greatest(F.lit(times), F.ceil(F.lit(share) * F.col("n_all"))))
+    ranked = n.join(sizes.where("size >= least"), "word").join(often, "rest").withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy("members", "rest")))
+    rarest = ranked.where("rank <= size - least + 1").select("rest", F.col("word").alias("familiar"), "n")
+    formal = n.select("rest", F.col("word").alias("formal"), F.col("n").alias("n_formal"))
+    tried = rarest.join(formal, "rest").where("n_formal > n").select("formal", "familiar").distinct()
+    both = tried.join(n.select(F.col("word").alias("familiar"), "rest", "n"), "familiar").join(n.select(F.col("word").alias("formal"), "rest"), ["formal", "rest"])
+    counted = both.groupBy("formal", "familiar").agg(F.count("*").alias("k"), F.max("n").alias("n"))
+    return counted.where((F.col("k") >= times) & (F.col("k") >= share * F.col("n"))).select("formal", "familiar")
+
+
+def entities(names: DataFrame, familiar: DataFrame, name: str = "name", established: int = 3, share: float = 0.2, rarer: float = 4.0) -> DataFrame:
     """(name, entity) of every distinct name; names of one person or organisation have one entity.
 
     names: a column of names as typed; familiar: (formal, familiar) given names, completed by the nicknames that names tell in quotes.
     Null names are dropped; a name of blanks or signs only is an entity of its own. Names in `papers.authors` with outer blanks are to be trimmed
-    by the caller, or they are names of their own that fall into the same entity.
+    by the caller, or they are names of their own that fall into the same entity. Names of any number and length of words are compared.
     """
     parsed = materialize(names.select(F.col(f"`{name}`").alias("name")).where("name is not null").distinct().mapInArrow(_parse, "name string, kind string, key string, forms array<string>, middle string, formal string, familiar string"))
     # one pair of words with different middle initials is different people
-    middles = parsed.where("kind <> 'initial' and middle is not null").groupBy("key").agg(F.count_distinct("middle").alias("n")).where("n > 1")
-    parsed = materialize(parsed.join(middles.select("key", F.lit(True).alias("many")), "key", "left").withColumn("who", F.when(F.col("many"), F.concat_ws("#", "key", F.coalesce("middle", F.lit("")))).otherwise(F.col("key"))))
+    middles = materialize(parsed.where("kind <> 'initial' and middle is not null").groupBy("key").agg(F.count_distinct("middle").alias("n")).where("n > 1").select("key", F.lit(True).alias("many")))
+    parsed = materialize(parsed.join(middles, "key", "left").withColumn("who", F.when(F.col("many"), F.concat_ws("#", "key", F.coalesce("middle", F.lit("")))).otherwise(F.col("key"))))
     keys = parsed.where("kind <> 'initial'").select(F.col("who").alias("key"), F.col("key").alias("form"), "kind", "forms").distinct()
-    simple = keys.where("kind = 'pair' and key = form").select("key").distinct()
-
+    # different middle initials tell people with like names apart
+    told_middle = materialize(parsed.where("kind <> 'initial' and middle is not null").groupBy(F.col("who").alias("key")).agg(F.min("middle").alias("middle")))
+
+    # every name as two words: a key of two words as it is, a longer one by its first word and by its last
+    pairs = keys.where("kind = 'pair'").select("key", F.col("form").alias("written"), F.lit(True).alias("short"))
+    pairs = materialize(pairs.unionByName(keys.where("kind = 'other'").select("key", F.explode("forms").alias("written"), F.lit(False).alias("short"))).distinct())
+    split = pairs.select("key", "written", "short", F.split("written", "\\|").alias("w"))
+    turns = F.array(F.struct(F.col("w")[0].alias("word"), F.col("w")[1].alias("rest")), F.struct(F.col("w")[1].alias("word"), F.col("w")[0].alias("rest")))
+    either = split.select("key", "written", "short", F.explode(turns).alias("p")).select("key", "written", "short", "p.*")
+    words = materialize(either.where("short").select("written", "word").distinct().groupBy("word").agg(F.count("*").alias("n")))
     told = parsed.where("formal is not null").select("formal", "familiar").unionByName(familiar.select(F.lower("formal").alias("formal"), F.lower("familiar").alias("familiar")))
-    split = simple.select("key", F.split("key", "\\|").alias("w"))
-    either = split.select("key", F.explode(F.array(F.struct(F.col("w")[0].alias("word"), F.col("w")[1].alias("rest")), F.struct(F.col("w")[1].alias("word"), F.col("w")[0].alias("rest")))).alias("p")).select("key", "p.*")
-    words = materialize(either.groupBy("word").agg(F.count("*").alias("n")))
-    told = told.unionByName(_beside(either, words)).distinct()
+    told = told.unionByName(_beside(either.where("short"), words)).distinct()
     formal = materialize(either.join(told, either["word"] == told["familiar"]).select("key", F.concat_ws("|", F.sort_array(F.array("formal", "rest"))).alias("form")).distinct())
 
     # slips of the pen, in keys as typed and with the formal given name
-    slips = simple.select("key", F.col("key").alias("form")).unionByName(formal).mapInArrow(_slips, "form string, exact boolean, key string, word string")
+    typed = pairs.select("key", "written", F.lit(True).alias("typed")).unionByName(formal.select("key", F.col("form").alias("written"), F.lit(False).alias("typed")))
+    slips = materialize(typed.mapInArrow(_slips, "form string, how string, exact boolean, key string, word string"))
     shared = slips.groupBy("form").agg(F.count_distinct("key").alias("k"), F.max("exact").alias("whole")).where("k > 1")
-    near = slips.join(shared, "form").where("whole or form like '%*%' or form rlike '[0-9]:'").join(words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    hub = near.groupBy("form").agg(F.max(F.struct("exact", "n", "key", "word")).alias("hub"))
-    linked = near.join(hub, "form").where("key <> hub.key").where("not hub.exact or not exact")
+    # a rewritten name that is another as it stands is no slip; whether it is meant is settled below
+    near = slips.where("exact or how <> 'as is'").join(shared, "form").where("whole or how in ('other letter', 'swapped')").join(words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    many = typed.join(middles, typed["written"] == middles["key"], "left_semi").select("key").distinct().withColumn("many", F.lit(True))
+    near = materialize(near.join(told_middle, "key", "left").join(many, "key", "left"))
+    top = F.max(F.struct("exact", "n", "key", "word", "middle", "many")).alias("hub")
+    # one whose namesakes differ by middle initials is linked to that of them with its own
+    mine = near.where("middle is not null").groupBy("form", "middle").agg(top)
+    alike = near.join(mine, ["form", "middle"])
+    general = near.join(near.groupBy("form").agg(top), "form").where("hub.many is null and many is null").where("middle is null or hub.middle is null or middle = hub.middle")
+    linked = alike.select("key", "word", "n", "exact", "hub").unionByName(general.select("key", "word", "n", "exact", "hub")).where("key <> hub.key").where("not hub.exact or not exact")
     two = (F.col("word") != F.col("hub.word")) & (F.least("n", "hub.n") >= established) & (F.least("n", "hub.n") > share * F.greatest("n", "hub.n"))
-    # different middle initials tell people with like names apart
-    told_middle = materialize(parsed.where("kind = 'pair' and middle is not null").groupBy(F.col("who").alias("key")).agg(F.min("middle").alias("middle")))
-    other_middle = told_middle.select(F.col("key").alias("v"), F.col("middle").alias("other"))
-    by_slip = linked.where(~two).select("key", F.col("hub.key").alias("v")).distinct().join(told_middle, "key", "left").join(other_middle, "v", "left")
-    by_slip = by_slip.where("coalesce(middle, other) is null or coalesce(middle, other) = coalesce(other, middle)").select(F.col("key").alias("u"), "v")
+    by_slip = linked.where(~two).select(F.col("key").alias("u"), F.col("hub.key").alias("v")).distinct()
 
-    # nicknames and other rewritings: a key's further forms; it is linked where just one of them is anyone else's
+    # nicknames and other rewritings: a key's further forms, where they are anyone else's
     further = formal.unionByName(keys.select("key", F.explode("forms").alias("form"))).where("key <> form").distinct()
     holders = keys.select("form", F.col("key").alias("holder")).unionByName(further.select("form", F.col("key").alias("holder"))).distinct()
-    rare = holders.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
-    used = further.join(rare, "form", "left_semi")
-    once = used.groupBy("key").agg(F.count("*").alias("n"), F.min("form").alias("form")).where("n = 1").select("key", "form")
-    by_form = once.select(F.col("key").alias("u"), F.col("form").alias("v"))
-
-    edges = materialize(by_slip.unionByName(by_form))
+    held = holders.groupBy("form").agg(F.count("*").alias("n")).where("n > 1")
+    used = further.join(held, "form").join(told_middle, "key", "left").join(middles.select(F.col("key").alias("form"), "many"), "form", "left")
+    # where the form is that of people with different middle initials, only that with the same one is meant
+    used = used.withColumn("node", F.when(F.col("many").isNull(), F.col("form")).when(F.col("middle").isNotNull(), F.concat_ws("#", "form", "middle"))).where("node is not null")
+    other = told_middle.select(F.col("key").alias("node"), F.col("middle").alias("other"))
+    used = materialize(used.join(other, "node", "left").where("middle is null or other is null or middle = other").select("key", "node", "n").distinct())
+    times = used.groupBy("key").agg(F.count("*").alias("times"))
+    once = used.join(times.where("times = 1"), "key").select(F.col("key").alias("u"), F.col("node").alias("v"))
+    edges = materialize(by_slip.unionByName(once))
     parts = materialize(components(edges))
+    several = used.join(times.where("times > 1"), "key")
+    if not several.isEmpty():
+        # the forms of one entity count as one; of different ones the rarest counts if it is much rarer than the next
+        meant = several.join(parts, several["node"] == parts["node"], "left").select("key", F.coalesce("component", several["node"]).alias("entity"), several["node"], "n")
+        scored = meant.groupBy("key", "entity").agg(F.min("n").alias("n"), F.min("node").alias("node"))
+        ranked = scored.groupBy("key").agg(F.min(F.struct("n", "node")).alias("best"), F.count("*").alias("meanings"), F.expr("get(sort_array(collect_list(n)), 1)").alias("next"))
+        chosen = ranked.where((F.col("meanings") == 1) | (F.col("next") >= rarer * F.col("best.n"))).select(F.col("key").alias("u"), F.col("best.node").alias("v"))
+        if not chosen.isEmpty():
+            edges = materialize(edges.unionByName(chosen))
+            parts = materialize(components(edges))
     own = keys.select("key").distinct().join(parts, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("entity"))
     own = materialize(own)
 

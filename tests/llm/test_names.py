@@ -58,3 +58,37 @@ def test_odd_rows(spark):
     forms = spark.createDataFrame([], "formal string, familiar string")
     assert {r.name for r in entities(df, forms).collect()} == {"", "  ", "†", "X", "x" * 5000 + " Long", "A B C D E"}
     assert entities(df.limit(0), forms).count() == 0
+
+
+def test_long_words(spark):
+    """A slip in a word of any length is found; on either side of the length from which forms travel as digests."""
+    for n in (58, 62, 78, 79, 80, 120, 2000):
+        word = "".join("abcdefghijklmnop"[i * 7 % 16] for i in range(n))
+        assert linked(spark, [f"Ann {word}", f"Ann {word[:9] + word[10:]}"]) == groups([f"Ann {word}", f"Ann {word[:9] + word[10:]}"]), n
+
+
+def test_different_middle_initials(spark):
+    """Slips and nicknames of people whose namesakes differ by their middle initials go to the one with the same initial, or to none."""
+    a, b = ["Alexander A. Smith", "Alexnader A. Smith", "Sasha A. Smith"], ["Alexander B. Smith"]
+    assert linked(spark, [*a, *b, "Alexandr Smith", "A. Smith"]) == groups(a)
+    assert linked(spark, ["Robert A. Smith", "Robert B. Smith", "Jane Smith", "R. Smith"]) == set()
+
+
+def test_longer_names(spark):
+    one = ["Maria Lopez Garcia", "Maria Lopez Garca", "Mraia Lopez Garcia", "Maria Lopezgarcia"]
+    assert linked(spark, [*one, "Paula Lopez Garcia"]) == groups(one)
+    two = ["Robert van Houten", "Bob van Houten"]
+    assert linked(spark, two) == groups(two)
+
+
+def test_several_forms(spark):
+    """Two further forms that mean one entity link to it; of two that mean different ones neither counts."""
+    one = ["Alex Berg", "Alexander Berg", "Alexandr Berg"]
+    assert linked(spark, one, [("Alexander", "Alex"), ("Alexandr", "Alex")]) == groups(one)
+    assert linked(spark, ["Alex Berg", "Alexander Berg", "Alexis Berg"], [("Alexander", "Alex"), ("Alexis", "Alex")]) == set()
+
+
+def test_nicknames_beside_the_same_families(spark):
+    names = [f"{g} {f}" for f in ("Abelson", "Brunner", "Castell") for g in ("Theodora", "Dora")]
+    names += [f"Theodora {f}" for f in ("Dorfman", "Engel")]
+    assert groups(["Theodora Abelson", "Dora Abelson"]) <= linked(spark, names + names[:1], [])
