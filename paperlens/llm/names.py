@@ -259,8 +259,8 @@ def entities(names: DataFrame, familiar: DataFrame, name: str = "name", establis
     mine = near.where("middle is not null").groupBy("form", "middle").agg(top)
     alike = near.join(mine, ["form", "middle"])
     general = near.join(near.groupBy("form").agg(top), "form").where("hub.many is null and many is null").where("middle is null or hub.middle is null or middle = hub.middle")
-    linked = alike.select("key", "word", "n", "exact", "hub").unionByName(general.select("key", "word", "n", "exact", "hub")).where("key <> hub.key").where("not hub.exact or not exact")
-    two = (F.col("word") != F.col("hub.word")) & (F.least("n", "hub.n") >= established) & (F.least("n", "hub.n") > share * F.greatest("n", "hub.n"))
+    linked = alike.select("key", "word", "n", "exact", "hub").unionByName(general.select("key", "word", "n", "exact", "hub")).where("key <> hub.key and word <> hub.word").where("not hub.exact or not exact")
+    two = (F.least("n", "hub.n") >= established) & (F.least("n", "hub.n") > share * F.greatest("n", "hub.n"))
     by_slip = linked.where(~two).select(F.col("key").alias("u"), F.col("hub.key").alias("v")).distinct()
 
     # nicknames and other rewritings: a key's further forms, where they are anyone else's
