@@ -30,7 +30,8 @@ _MUL = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1
 _ADD = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = _RANDOM.integers(1, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
-_BLOCK, _PIECE = 16_384, 4_096
+_BLOCK, _PIECE = 2_048, 512  # a block of hash values stays in the cache of a core
+_HELD = 16_384
 
 
 def _word_hash(word: str) -> int:
@@ -97,8 +98,8 @@ def _lows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lo = 0
     while lo < len(piece_starts):
         hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + _BLOCK, side="right")) - 1)
-        y = flat[edges[lo] : edges[hi], None] * _MUL + _ADD
-        y ^= y >> np.uint64(31)
+        y = flat[edges[lo] : edges[hi], None] * _MUL
+        y += _ADD
         mins[lo:hi] = np.minimum.reduceat(y, edges[lo:hi] - edges[lo], axis=0)
         lo = hi
     segment_of_piece = np.array(segment_of)
@@ -146,7 +147,7 @@ def bands(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
                     continue
                 at.append(i), sizes.append(len(value.rstrip())), shingles.append(x)
                 held += len(x)
-                if held >= _BLOCK:
+                if held >= _HELD:
                     yield emit(batch.column(0), at, sizes, shingles)
                     at, sizes, shingles, held = [], [], [], 0
             if at:
