@@ -16,14 +16,20 @@ LIST = re.compile(r"\s*(?:[-*+•]|\d+[.)])\s+")
 ENDS, CUT, OPEN = "ends", "cut", "open"
 
 
+_NUMBER_END = re.compile(r"\d[\d.,]*$")
+_WORD_END = re.compile(r"[^\W\d_][\w’'-]*$")
+_RUNS = re.compile(r"[㐀-鿿]+|\d[\d.,]*|[^\W\d_][\w’'-]*")
+
+
 def last_word(line: str) -> str:
     """The closing word of a line: a Latin word, a number as #, or the last two Chinese characters; other characters as they are."""
     line = line.rstrip()
-    if m := re.search(r"[㐀-鿿]{1,2}$", line):
-        return m.group()
-    if m := re.search(r"\d[\d.,]*$", line):
+    if "㐀" <= line[-1:] <= "鿿":
+        return line[-2:] if "㐀" <= line[-2:-1] <= "鿿" else line[-1:]
+    end = line.rsplit(None, 1)[-1] if line else ""  # neither a number nor a word has a blank in it
+    if _NUMBER_END.search(end):
         return "#"
-    if m := re.search(r"[^\W\d_][\w’'-]*$", line):
+    if m := _WORD_END.search(end):
         return m.group().casefold()
     return line[-1:]
 
@@ -31,12 +37,11 @@ def last_word(line: str) -> str:
 def line_words(line: str) -> list[str]:
     """All words that could close a line, in the form of `last_word`."""
     out = []
-    for m in re.finditer(r"[㐀-鿿]+|\d[\d.,]*|[^\W\d_][\w’'-]*", line):
-        w = m.group()
+    for w in _RUNS.findall(line.casefold()):
         if "㐀" <= w[0] <= "鿿":
-            out.extend(w[i : i + 2] for i in range(len(w) - 1))
+            out.extend(map(str.__add__, w, w[1:]))
         else:
-            out.append("#" if w[0].isdigit() else w.casefold())
+            out.append("#" if w[0].isdigit() else w)
     return out
 
 

@@ -102,9 +102,22 @@ _EITHER = re.compile("能不能|可不可以|会不会|可否|能否|要不要|
 _LEAD = frozenset("but however so and sorry aber doch leider mais donc pero y así mas ma però men maar но а unfortunately lamentablemente malheureusement désolé purtroppo infelizmente helaas извините".split())
 
 
+_NEGATIONS = frozenset("not nicht nichts keine pas ne no non não niet geen не".split())
+
+
+@lru_cache(maxsize=1)
+def _triggers() -> tuple[frozenset[str], tuple[str, ...]]:
+    every = frozenset().union(*(t for _, _, t in _lexicon().values()))
+    stems = tuple({p.strip().split()[0][:-1] for c in CLASSES.values() for k in ("unable", "decline", "beyond", "forbid") for p in c.get(k, "").casefold().split(";") if p.strip().split()[:1] and p.strip().split()[0].endswith("*")})
+    return every, stems
+
+
 @lru_cache(maxsize=1)
 def _lexicon() -> dict[str, tuple[dict[str, list[tuple[tuple[str, ...], str]]], list[tuple[str, str]], frozenset[str]]]:
-    """Per language: phrases by their first word, (stem, class) of open-ended first words, and words without which nothing is declined."""
+    """Per language: phrases by their first word, (stem, class) of open-ended first words, and words without which nothing is declined.
+
+    Of a phrase one word is enough for that, the negation if it has one, else the longest.
+    """
     out = {}
     for language, classes in CLASSES.items():
         by_word: dict[str, list[tuple[tuple[str, ...], str]]] = {}
@@ -117,7 +130,7 @@ def _lexicon() -> dict[str, tuple[dict[str, list[tuple[tuple[str, ...], str]]],
                 else:
                     by_word.setdefault(words[0], []).append((words, kind))
                 if kind in ("unable", "decline", "not", "beyond", "forbid"):
-                    triggers.add(words[0].rstrip("*"))
+                    triggers.add(max(words, key=lambda w: (w in _NEGATIONS, len(w))).rstrip("*"))
         for phrases in by_word.values():
             phrases.sort(key=lambda p: -len(p[0]))
         out[language] = by_word, stems, frozenset(triggers)
@@ -171,11 +184,14 @@ def score(sentence: str) -> float:
     """How well a sentence aligns with the best template of any language, from 0 to 1."""
     low = sentence.casefold().replace("’", "'")
     if _NO_BLANKS.search(low):
-        return max(_score_characters(low, language) for language in CHARACTERS)
+        return max((_score_characters(low, language) for language in CHARACTERS if _may_decline(low, language)), default=0.0)
     tokens = _TOKEN.findall(low)
     known, top = set(tokens), 0.0
+    every, stems = _triggers()
+    if known.isdisjoint(every) and not any(s in low for s in stems):
+        return 0.0
     for language, (_, _, triggers) in _lexicon().items():
-        if not known.isdisjoint(triggers):
+        if not known.isdisjoint(triggers) or any(s in low for s in stems):
             spots = _spots(tokens, language)
             kinds = {k for _, _, k in spots}
             for template in TEMPLATES:
@@ -184,6 +200,24 @@ def score(sentence: str) -> float:
     return top
 
 
+@lru_cache(maxsize=1)
+def _declining() -> dict[str, re.Pattern[str]]:
+    """What a sentence without blanks must have at least: a negated ability beside a verb, or a word that declines by itself."""
+    out = {}
+    for language, patterns in _patterns().items():
+        parts = [patterns["decline"].pattern]
+        near = f"(?:{patterns['unable'].pattern}).{{0,6}}?(?:{patterns['act'].pattern})" if language == "zh" else patterns["unable"].pattern
+        parts.append(near)
+        if patterns.get("beyond"):
+            parts.append(f"(?:{patterns['beyond'].pattern}).*?我")
+        out[language] = re.compile("|".join(parts), re.S)
+    return out
+
+
+def _may_decline(low: str, language: str) -> bool:
+    return _declining()[language].search(low) is not None
+
+
 @lru_cache(maxsize=1)
 def _patterns() -> dict[str, dict[str, re.Pattern[str] | None]]:
     return {language: {kind: re.compile("|".join(sorted(map(re.escape, line.casefold().split(" ") if language != "ko" else _korean(line)), key=len, reverse=True))) if line else None for kind, line in classes.items()} for language, classes in CHARACTERS.items()}

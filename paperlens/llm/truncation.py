@@ -33,29 +33,46 @@ _PARTS = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 _SHUT = "\"'”’」』)）]】»*_ " + STOPS
 
 
-def _tally(text: str, ends: Counter[tuple[str, str]], total: Counter[tuple[str, str]]) -> None:
-    lines = text.rstrip().split("\n")
-    code = False
-    for number, line in enumerate(lines):
-        if line.lstrip().startswith("```"):
-            code = not code
-        if code or not line or _PROSE.match(line):
-            continue
-        whole = number < len(lines) - 1  # a line is complete if another follows it
-        if LIST.match(line):
-            kind, parts = "list", [LIST.sub("", line, count=1)]
-        else:
-            kind, parts = "text", _PARTS.split(line)
-        for i, part in enumerate(parts):
-            words = line_words(part)
-            complete = whole or i < len(parts) - 1
-            # the word where a text stops is the one in question: it is evidence of nothing
-            total.update((kind, w) for w in (words if complete else words[:-1]))
-            if complete:
-                last = last_word(part.rstrip(_SHUT))
-                if last:
-                    ends[kind, last] += 1
-                    total[kind, last] += last not in words[-1:]
+class Tally:
+    """Words of some texts, by kind of line: how often each stands there, and how often it closes a complete line or sentence."""
+
+    def __init__(self) -> None:
+        self.ends: dict[str, Counter[str]] = {"list": Counter(), "text": Counter()}
+        self.total: dict[str, Counter[str]] = {"list": Counter(), "text": Counter()}
+
+    def add(self, text: str) -> None:
+        lines = text.rstrip().split("\n")
+        prose: list[str] = []
+        code = False
+        for number, line in enumerate(lines):
+            if line.lstrip().startswith("```"):
+                code = not code
+            if code or not line or _PROSE.match(line):
+                continue
+            whole = number < len(lines) - 1  # a line is complete if another follows it
+            if LIST.match(line):
+                item = LIST.sub("", line, count=1)
+                words = line_words(item)
+                self.total["list"].update(words if whole else words[:-1])
+                if whole:
+                    self._close("list", item, words)
+                continue
+            parts = _PARTS.split(line)
+            if not whole:
+                # the word where a text stops is the one in question: it is evidence of nothing
+                self.total["text"].update(line_words(parts.pop())[:-1])
+            prose.extend(parts)
+            for part in parts:
+                self._close("text", part, None)
+        if prose:
+            self.total["text"].update(line_words("\n".join(prose)))
+
+    def _close(self, kind: str, part: str, words: list[str] | None) -> None:
+        last = last_word(part.rstrip(_SHUT))
+        if last:
+            self.ends[kind][last] += 1
+            if words is not None:
+                self.total[kind][last] += last not in words[-1:]
 
 
 def terminality(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -64,16 +81,18 @@ def terminality(texts: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends: Counter[tuple[str, str]] = Counter()
-            total: Counter[tuple[str, str]] = Counter()
+            tally = Tally()
             for value in batch.column(0).to_pylist():
                 if value:
-                    _tally(value, ends, total)
-            words = list(total)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in words], pa.string()), pa.array([w for _, w in words], pa.string()), pa.array([ends[w] for w in words], pa.int64()), pa.array([total[w] for w in words], pa.int64())],
-                ["kind", "word", "ends", "total"],
-            )
+                    tally.add(value)
+            for kind, total in tally.total.items():
+                ends = tally.ends[kind]
+                total.update({w: 0 for w in ends})  # a closing sign that is no word stands where it closes
+                words = list(total)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([kind] * len(words), pa.string()), pa.array(words, pa.string()), pa.array([ends[w] for w in words], pa.int64()), pa.array([max(total[w], ends[w]) for w in words], pa.int64())],
+                    ["kind", "word", "ends", "total"],
+                )
 
     return texts.select(text).mapInArrow(run, "kind string, word string, ends long, total long").groupBy("kind", "word").agg(F.sum("ends").alias("ends"), F.sum("total").alias("total"))
 
