@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlens.session import discard, materialize
+from paperlens.session import discard, materialize, materialize_counted
 
 
 def latest(df: DataFrame, key: str, version: str) -> DataFrame:
@@ -67,22 +67,23 @@ def _rank(arcs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     A round joins the arcs still under way with the arcs they point at. Arcs at their end that none points at are never
     pointed at later, so a round carries on only what it has just read.
     """
-    start = materialize(arcs.select("e", "nxt", F.lit(1).cast("long").alias("len"), F.col("turn").alias("dep"), F.when(F.col("nxt").isNull(), F.col("e")).alias("last"), F.col("e").alias("low")))
+    way_left = {"left": F.count_if(F.col("nxt").isNotNull())}
+    start, seen = materialize_counted(arcs.select("e", "nxt", F.lit(1).cast("long").alias("len"), F.col("turn").alias("dep"), F.when(F.col("nxt").isNull(), F.col("e")).alias("last"), F.col("e").alias("low")), **way_left)
     columns = ["e", "nxt", "len", "dep", "last", "low"]
     ended, tables, reach = [start.where("nxt is null").select(columns)], [start], 1
     way = start.where("nxt is not null").select(columns)
     behind = ended[0]
-    count = way.count()
+    count = seen["left"]
     while count:
         target = way.unionByName(behind).select(*[F.col(c).alias(f"t_{c}") for c in columns])
         step = way.join(target, way["nxt"] == target["t_e"]).select(
             "e", F.col("t_nxt").alias("nxt"), (F.col("len") + F.col("t_len")).alias("len"), (F.col("dep") + F.col("t_dep")).alias("dep"), F.col("t_last").alias("last"), F.least("low", "t_low").alias("low"),
             *[F.when(F.col("t_nxt").isNull(), F.col(f"t_{c}")).alias(f"p_{c}") for c in columns],
         )
-        step = materialize(step)
+        step, seen = materialize_counted(step, **way_left)
         tables.append(step)
         reach *= 2
-        left = step.where("nxt is not null").count()
+        left = seen["left"]
         ended.append(step.where("nxt is null").select(columns))
         way = step.where("nxt is not null").select(columns)
         behind = step.where("p_e is not null").select(*[F.col(f"p_{c}").alias(c) for c in columns]).unionByName(ended[-1])
@@ -140,6 +141,31 @@ def hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id",
     return out.join(lost, "root", "left").select("id", "parent_id", kind.alias("kind"), "root", "depth", "entry", (F.col("entry") + F.col("n_below")).alias("exit"), "n_below")
 
 
+def roots(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id", version_col: str | None = None) -> DataFrame:
+    """(id, root, depth) of every node whose chain of parents ends at a node without one, by doubling along the parent links.
+
+    That is the part of `hierarchy` that needs no tours: log2(depth) rounds of one row a node. Nodes of other chains have no row.
+    Each round drops what is settled; many nodes may point at one, which a round only reads.
+    """
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{parent_col}`").cast("long").alias("up"), (F.col(f"`{version_col}`") if version_col else F.lit(0)).alias("version"))
+    one = rows.where("id is not null").groupBy("id").agg(F.max(F.struct("version", "up")).alias("m")).select("id", F.col("m.up").alias("at"))
+    left = {"left": F.count_if(F.col("at").isNotNull())}
+    now, seen = materialize_counted(one.select("id", "at", F.when(F.col("at").isNull(), F.col("id")).alias("root"), F.col("at").isNotNull().cast("long").alias("depth")), **left)
+    count, reach = seen["left"], 1
+    while count:
+        ahead = now.select(F.col("id").alias("at"), F.col("at").alias("t_at"), F.col("root").alias("t_root"), F.col("depth").alias("t_depth"))
+        done = now.where("at is null")
+        # an inner join drops the chains that end at an id that isn't there
+        way = now.where("at is not null").join(ahead, "at").select("id", F.col("t_at").alias("at"), F.col("t_root").alias("root"), (F.col("depth") + F.col("t_depth")).alias("depth"))
+        step, seen = materialize_counted(done.unionByName(way), **left)
+        discard(now)
+        now, reach = step, reach * 2
+        if seen["left"] == count and reach > count:  # nothing has ended, and no chain is that long: these run in circles
+            break
+        count = seen["left"]
+    return now.where("at is null").select("id", "root", "depth")
+
+
 def paths(nodes: DataFrame, chunk: int = 4096) -> DataFrame:
     """The path from the root of every node of `hierarchy`: id, path (array of ids, the root first, the node last).
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlens.catalog import ANALYZING, REVIEWING, Tables, valid_insight
+from paperlens.session import materialize
 
 
 def valid(tables: Tables) -> DataFrame:
@@ -17,16 +18,17 @@ def valid(tables: Tables) -> DataFrame:
 def neighbours(tables: Tables) -> DataFrame:
     """The ids before and after each, in order of id.
 
-    A window over all rows would put them into one task. Ids are ordered within their first four characters, and the ends of these
-    groups, as few as there are prefixes, are linked by a second window.
+    A window over all rows would put them into one task. Ids are cut into ranges of like size, whatever their form, and ordered within
+    each; the ends of the ranges, as few as there are partitions, are linked by a second window.
     """
-    ids = valid(tables).select("id", F.substring("id", 1, 4).alias("head"))
-    inside = Window.partitionBy("head").orderBy("id")
+    ids = valid(tables).select("id").repartitionByRange("id").sortWithinPartitions("id")
+    ids = materialize(ids.withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy("part").orderBy("id")
     near = ids.withColumn("prev_in", F.lag("id").over(inside)).withColumn("next_in", F.lead("id").over(inside))
-    ends = ids.groupBy("head").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    along = Window.orderBy("head")
-    ends = ends.select("head", F.lag("last").over(along).alias("prev_out"), F.lead("first").over(along).alias("next_out"))
-    return near.join(ends, "head").select("id", F.coalesce("prev_in", "prev_out").alias("prev_id"), F.coalesce("next_in", "next_out").alias("next_id"))
+    ends = ids.groupBy("part").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    along = Window.orderBy("first")
+    ends = ends.select("part", F.lag("last").over(along).alias("prev_out"), F.lead("first").over(along).alias("next_out"))
+    return near.join(ends, "part").select("id", F.coalesce("prev_in", "prev_out").alias("prev_id"), F.coalesce("next_in", "next_out").alias("next_id"))
 
 
 def recent(tables: Tables, limit: int) -> DataFrame:

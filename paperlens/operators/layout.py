@@ -89,7 +89,7 @@ def recurring_headers(lines: DataFrame, least: int = 2) -> DataFrame:
 
 def line_clusters(lines: DataFrame, gap: float) -> DataFrame:
     """Lines of a page in clusters: a new one where a line begins at least `gap` below the line before."""
-    order = Window.partitionBy(*PAGE).orderBy("y0", "x0")
+    order = Window.partitionBy(*PAGE).orderBy("y0", "x0", "pos")
     opens = F.when(F.col("y0") - F.lag("y1").over(order) >= gap, 1).otherwise(0)
     numbered = lines.withColumn("opens", opens).withColumn("cluster", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(*PAGE, "cluster").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n"))
@@ -97,7 +97,7 @@ def line_clusters(lines: DataFrame, gap: float) -> DataFrame:
 
 def largest_gap(lines: DataFrame) -> DataFrame:
     """Where a page's lines are furthest apart: (paper_id, page_idx, gap, at)."""
-    order = Window.partitionBy(*PAGE).orderBy("y0", "x0")
+    order = Window.partitionBy(*PAGE).orderBy("y0", "x0", "pos")
     apart = lines.select(*PAGE, (F.col("y0") - F.lag("y1").over(order)).alias("gap"), F.col("y0").alias("at")).where("gap is not null")
     return apart.groupBy(*PAGE).agg(F.max(F.struct("gap", (-F.col("at")).alias("n"))).alias("m")).select(*PAGE, "m.gap", (-F.col("m.n")).alias("at"))
 

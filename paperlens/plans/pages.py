@@ -107,6 +107,6 @@ def oracle_sql() -> dict[str, str]:
           p as (select *, count(*) filter (ft) over g = 1 and count(*) filter (tf) over g = 1 as one, max(case when ft then caption_number end) over g as f, max(case when tf then caption_number end) over g as t from w window g as (partition by paper_id, page_idx))
           select paper_id, pos, case when one and ft then t when one and tf then f else caption_number end as caption_number from p""",
         "l_missing_numbers": f"{b}, n as (select distinct paper_id, substr(caption_number, 1, 1) as kind, cast(substr(caption_number, 3) as int) as number from b where caption_number is not null), t as (select paper_id, kind, unnest(range(1, max(number) + 1)) as number from n group by paper_id, kind) select paper_id, kind, cast(number as int) as number from t where (paper_id, kind, number) not in (select paper_id, kind, number from n)",
-        "l_clusters": f"{b}, m as (select *, case when y0 - lag(y1) over w >= 30 then 1 else 0 end as opens from b window w as (partition by paper_id, page_idx order by y0, x0)), c as (select *, cast(sum(opens) over (partition by paper_id, page_idx order by y0, x0 rows unbounded preceding) as bigint) as cluster from m) select paper_id, page_idx, cluster, min(y0) as y0, max(y1) as y1, count(*) as n from c group by 1, 2, 3",
-        "l_largest_gap": f"{b}, m as (select paper_id, page_idx, y0 - lag(y1) over (partition by paper_id, page_idx order by y0, x0) as gap, y0 from b) select paper_id, page_idx, max(gap) as gap, max_by(y0, (gap, -y0)) as \"at\" from m where gap is not null group by 1, 2",
+        "l_clusters": f"{b}, m as (select *, case when y0 - lag(y1) over w >= 30 then 1 else 0 end as opens from b window w as (partition by paper_id, page_idx order by y0, x0, pos)), c as (select *, cast(sum(opens) over (partition by paper_id, page_idx order by y0, x0, pos rows unbounded preceding) as bigint) as cluster from m) select paper_id, page_idx, cluster, min(y0) as y0, max(y1) as y1, count(*) as n from c group by 1, 2, 3",
+        "l_largest_gap": f"{b}, m as (select paper_id, page_idx, y0 - lag(y1) over (partition by paper_id, page_idx order by y0, x0, pos) as gap, y0 from b) select paper_id, page_idx, max(gap) as gap, max_by(y0, (gap, -y0)) as \"at\" from m where gap is not null group by 1, 2",
     }

@@ -50,9 +50,9 @@ def t3_headings(t: Tables) -> DataFrame:
     return _docs(t, "doc_kind = 'insight' and text is not null").select("doc_id", text.normalize_heading(F.col("text")).alias("text"))
 
 
-@query("t8_think", "select doc_id, length(regexp_replace(text, '(?s)<think(?:ing)?>.*?</think(?:ing)?>', '', 'g')) as n from documents where text is not null")
+@query("t8_think", f"select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?s)<think(?:ing)?>.*?</think(?:ing)?>', '', 'g'), '^{_UNI}+', ''), '{_UNI}+$', '')) as digest from documents where text is not null")
 def t8_think(t: Tables) -> DataFrame:
-    return _docs(t).select("doc_id", F.length(F.regexp_replace("text", "(?s)<think(?:ing)?>.*?</think(?:ing)?>", "")).cast("long").alias("n"))
+    return _docs(t).select("doc_id", F.md5(text.strip_think(F.col("text"))).alias("digest"))
 
 
 @query("t9_score", f"with x as (select doc_id, try_cast(nullif(regexp_extract(text, 'Score[:\\s]*(\\d{{1,2}}(?:\\.\\d+)?)', 1), '') as double) as s from documents where {_OUTPUTS}) select doc_id, case when s between 0 and 8 then s when s is not null then 8 end as score from x")
@@ -65,9 +65,9 @@ def t11_type(t: Tables) -> DataFrame:
     return _docs(t, _OUTPUTS).select("doc_id", text.parse_type(F.col("text")).alias("paper_type"))
 
 
-@query("t10_summary", f"select doc_id, length(regexp_replace(regexp_extract(text, '(?s)Summary[:\\s]*(?:Score[:\\s]*\\d{{1,2}}(?:\\.\\d+)?(?:/10(?:\\.00)?)?\\s*)?(.*)', 1), '{_UNI}+$', '')) as n from documents where {_OUTPUTS} and contains(text, 'Summary')")
+@query("t10_summary", f"select doc_id, md5(regexp_replace(regexp_extract(text, '(?s)Summary[:\\s]*(?:Score[:\\s]*\\d{{1,2}}(?:\\.\\d+)?(?:/10(?:\\.00)?)?\\s*)?(.*)', 1), '{_UNI}+$', '')) as digest from documents where {_OUTPUTS} and contains(text, 'Summary')")
 def t10_summary(t: Tables) -> DataFrame:
-    return _docs(t, f"{_OUTPUTS} and contains(text, 'Summary')").select("doc_id", F.length(text.parse_summary(F.col("text"))).cast("long").alias("n"))
+    return _docs(t, f"{_OUTPUTS} and contains(text, 'Summary')").select("doc_id", F.md5(text.parse_summary(F.col("text"))).alias("digest"))
 
 
 @query("t12_tags", f"""with s as (select doc_id, regexp_extract(text, '(?s)Tags[:\\s]*\\n(.*)', 1) as body from documents where {_OUTPUTS}), l as (select doc_id, unnest(string_split(replace(body, chr(13), ''), chr(10))) as line, generate_subscripts(string_split(replace(body, chr(13), ''), chr(10)), 1) as i from s),
@@ -95,10 +95,13 @@ def t18_edits(t: Tables) -> DataFrame:
     return both.select("id", edit.alias("e")).select("id", "e.status", F.length("e.text").alias("n"))
 
 
-@query("t20_fingerprint", "select paper_id, md5(string_agg(id || ':' || ai_status, '|' order by id)) as mark from c group by paper_id", "c")
+@query("t20_fingerprint", ", k as (select paper_id, id // 1000 as chunk, md5(string_agg(id || ':' || ai_status, '|' order by id)) as mark from c group by all) select paper_id, md5(string_agg(mark, '|' order by chunk)) as mark from k group by paper_id", "c")
 def t20_fingerprint(t: Tables) -> DataFrame:
+    """The state of a paper's comments, by chunks of a thousand ids, so that a popular paper's comments are never in one list."""
     rows = F.transform(F.sort_array(F.collect_list(F.struct("id", "ai_status"))), lambda x: F.concat_ws(":", x["id"], x["ai_status"]))
-    return t.comments("paper_id", "ai_status").groupBy("paper_id").agg(F.md5(F.array_join(rows, "|")).alias("mark"))
+    chunks = t.comments("paper_id", "ai_status").groupBy("paper_id", F.expr("id div 1000").alias("chunk")).agg(F.md5(F.array_join(rows, "|")).alias("mark"))
+    marks = F.transform(F.sort_array(F.collect_list(F.struct("chunk", "mark"))), lambda x: x["mark"])
+    return chunks.groupBy("paper_id").agg(F.md5(F.array_join(marks, "|")).alias("mark"))
 
 
 @query("t22_levenshtein", "select name, levenshtein(regexp_replace(lower(name), '[^a-z ]', '', 'g'), 'susannah') as d from author_stats")
@@ -109,14 +112,27 @@ def t22_levenshtein(t: Tables) -> DataFrame:
 _NUMBER = "[A-Z]\\.[0-9]+(?:\\.[0-9]+)?|[0-9]+(?:\\.[0-9]+)?|[ivxlcdm]+"
 
 
-@query("t25_captions", f"""with x as (select doc_id, replace(text, '_', ' ') as s, regexp_extract(replace(text, '_', ' '), '(?i)\\b(?:fig(?:ure)?|table|tbl)\\.?\\s*({_NUMBER})\\b', 1) as n, regexp_extract(replace(text, '_', ' '), '(?i)\\b(fig(?:ure)?|table|tbl)\\.?\\s*({_NUMBER})\\b', 1) as w from documents where {_CAPTIONS})
-  select doc_id, case when lower(w) in ('table', 'tbl') then 'T' else 'F' end || ':' || upper(n) as number from x where n <> ''""")
+# captions in SQL: the exact pattern, else the first word with one wrong letter
+_NUMBERED = f"""select doc_id, text, replace(text, '_', ' ') as s, regexp_extract(replace(text, '_', ' '), '(?i)\\b(?:fig(?:ure)?|table|tbl)\\.?\\s*({_NUMBER})\\b', 1) as n, lower(regexp_extract(replace(text, '_', ' '), '(?i)\\b(fig(?:ure)?|table|tbl)\\.?\\s*({_NUMBER})\\b', 1)) as w,
+  lower(regexp_extract(replace(text, '_', ' '), '^\\s*([^\\s:]*)', 1)) as f, regexp_extract(replace(text, '_', ' '), '(?i)^\\s*[^\\s:]*[\\s:]*({_NUMBER})\\b', 1) as m from documents where """
+_NUMBERED_AS = "case when n <> '' then case when w in ('table', 'tbl') then 'T:' else 'F:' end || upper(n) when m <> '' and (levenshtein(f, 'figure') = 1 or levenshtein(f, 'fig') = 1) then 'F:' || upper(m) when m <> '' and (levenshtein(f, 'table') = 1 or levenshtein(f, 'tbl') = 1) then 'T:' || upper(m) end"
+
+
+@query("t25_captions", f"with x as ({_NUMBERED}{_CAPTIONS}) select doc_id, {_NUMBERED_AS} as number from x")
 def t25_captions(t: Tables) -> DataFrame:
-    exact = F.translate("text", "_", " ").rlike(f"(?i)\\b(?:fig(?:ure)?|table|tbl)\\.?\\s*({_NUMBER})\\b")
-    return _docs(t, _CAPTIONS).where(exact).select("doc_id", text.caption_number(F.col("text")).alias("number"))
+    return _docs(t, _CAPTIONS).select("doc_id", text.caption_number(F.col("text")).alias("number"))
+
+
+def _one_of(word: str, wrong: int) -> str:
+    return "(" + " or ".join(f"levenshtein({word}, '{w}') <= {wrong}" for w in ("figure", "fig", "table", "tbl")) + ")"
+
+
+_HEADER = "^\\s*([^\\s:.]*)\\s*\\.*\\s*:*\\s*(?i:[0-9]+|[ivxlcdm]+)(?:[:.]|\\s+[A-Z])"
 
 
-@query("t23_caption_kinds")
+@query("t23_caption_kinds", f"""with x as ({_NUMBERED}text is not null), y as (select *, regexp_replace(f, '[.,0-9]+$', '') as g, lower(regexp_extract(text, '{_HEADER}', 1)) as h from x)
+  select doc_id, regexp_matches(text, '^\\([a-zA-Z0-9]+\\)(?:\\s+|$)') or {_one_of("g", 0)} or ({_one_of("g", 1)} and regexp_matches(s, '^\\s*[^\\s:]*[\\s:]*[0-9]')) as caption, regexp_matches(text, '{_HEADER}') and {_one_of("h", 1)} as header,
+  regexp_matches(text, '^\\([a-zA-Z0-9]+\\)\\s*') as panel, {_NUMBERED_AS} as number from y""")
 def t23_caption_kinds(t: Tables) -> DataFrame:
     c = F.col("text")
     return _docs(t).select("doc_id", text.looks_like_caption(c).alias("caption"), text.looks_like_caption_header(c).alias("header"), text.panel_label(c).alias("panel"), text.caption_number(c).alias("number"))
@@ -127,15 +143,31 @@ def t27_labels(t: Tables) -> DataFrame:
     return _docs(t).select("doc_id", text.numbered_label(F.col("text")).alias("numbered"))
 
 
-@query("t30_image_names")
+@query("t30_image_names", "select id, substr('0123456789abcdefghijklmnopqrstuvwxyz', cast(('0x' || substr(sha1(id), 1, 2)) as int) // 36 + 1, 1) || substr('0123456789abcdefghijklmnopqrstuvwxyz', cast(('0x' || substr(sha1(id), 1, 2)) as int) % 36 + 1, 1) as name from p", "p")
 def t30_image_names(t: Tables) -> DataFrame:
     return t.papers.select("id", text.base36_of_byte(F.sha1("id")).alias("name"))
 
 
-@query("t31_sections")
+_TRIM = lambda x: f"regexp_replace(regexp_replace({x}, '^{_UNI}+', ''), '{_UNI}+$', '')"
+_SECTIONS = f"""with d as (select doc_id, text from documents where doc_kind in ('section', 'insight') and text is not null),
+  l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as k from d), tl as (select *, {_TRIM("line")} as t from l),
+  g as (select *, sum(case when t = '' then 1 else 0 end) over (partition by doc_id order by k) as b from tl), q as (select doc_id, b, trim(string_agg(t, ' ' order by k), ' ') as s from g where t <> '' group by doc_id, b),
+  p as (select doc_id, s, lower(s) as low, row_number() over (partition by doc_id order by b) - 1 as i, count(*) over (partition by doc_id) as n from q),
+  sc as (select *, (case when regexp_matches(low, '{text.INTRO}') then 1.0 when regexp_matches(low, 'introduction|background') then 0.6 when regexp_matches(low, 'related work|overview|motivation') then 0.45 else 0.0 end)::double * (1 - i::double / n * 0.5) as a,
+    (case when regexp_matches(low, '{text.CONCLUSION}') then 1.0 when regexp_matches(low, 'conclusion|discussion') then 0.6 when regexp_matches(low, 'summary|future work|limitations') then 0.45 else 0.0 end)::double * (0.5 + i::double / n * 0.5) as z, regexp_matches(low, '{text.STOP}') as stops from p),
+  f as (select doc_id, max(n) as n, min_by(i, (-a, i)) filter (a > 0) as first, min_by(i, (-z, i)) filter (z > 0) as last from sc group by doc_id),
+  e as (select f.*, coalesce((select min(i) from sc where sc.doc_id = f.doc_id and stops and i >= first + 1), n) as s1, coalesce((select min(i) from sc where sc.doc_id = f.doc_id and stops and i >= last + 1), n) as s2 from f),
+  w as (select *, case when first is null then 0 else first end as ia, case when first is null then ceil(n * 0.15) else greatest(least(case when last > first then last else n end, s1), first + 1) end as ib,
+    case when last is null then n - ceil(n * 0.12) else last end as ca, case when last is null then n else greatest(s2, last + 1) end as cb from e),
+  o as (select w.doc_id, string_agg(s, chr(10) || chr(10) order by i) filter (i >= ia and i < ib) as intro, string_agg(s, chr(10) || chr(10) order by i) filter (i >= ca and i < cb) as conclusion from w join sc on w.doc_id = sc.doc_id group by w.doc_id),
+  h as (select doc_id, coalesce(min(k) filter (regexp_matches(lower(t), '{text.HEAD}') or regexp_matches(lower(t), '{text.INTRO}')), least(count(*), 30)) as k0 from tl group by doc_id),
+  hd as (select tl.doc_id, substring(string_agg(regexp_replace(line, '\\r+$', ''), chr(10) order by k) filter (k < k0), 1, 5000) as header from tl join h on tl.doc_id = h.doc_id group by tl.doc_id)
+  select hd.doc_id, coalesce(intro, '') as intro, coalesce(conclusion, '') as conclusion, coalesce(header, '') as header from hd left join o on o.doc_id = hd.doc_id"""
+
+
+@query("t31_sections", _SECTIONS)
 def t31_sections(t: Tables) -> DataFrame:
-    s = _docs(t, "doc_kind in ('section', 'insight') and text is not null").select("doc_id", text.sections(F.col("text")).alias("s"))
-    return s.select("doc_id", F.length("s.intro").alias("intro"), F.length("s.conclusion").alias("conclusion"), F.length("s.header").alias("header"))
+    return _docs(t, "doc_kind in ('section', 'insight') and text is not null").select("doc_id", text.sections(F.col("text")).alias("s")).select("doc_id", "s.intro", "s.conclusion", "s.header")
 
 
 @query("m4_images", ", x as (select paper_id, unnest(regexp_extract_all(insight, '!\\[([^\\]]*)\\]\\(([^)\\s]+)\\)', 2)) as url from pi) select paper_id, url from x", "pi")

@@ -1,8 +1,8 @@
 """Session builder and lineage cuts.
 
 `materialize` writes a DataFrame as a Parquet table below the folder named by ``spark.checkpoint.dir`` (shared by all
-executors, so the table outlives any of them) and reads it back with its schema. Only where that setting is missing, as in
-local tests, a folder of our own is used. Nothing here calls ``localCheckpoint``.
+executors, so the table outlives any of them) and reads it back with its schema. Where that setting is missing, a
+local session uses a folder of its own, and a cluster is told to set it. Nothing here calls ``localCheckpoint``.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql.types import StructType
 
 _LIVE: dict[str, SparkSession] = {}
 
@@ -47,23 +48,32 @@ def work_dir(spark: SparkSession) -> str:
     if own:
         return own
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="paperlens-")
     spark._paperlens_dir = named.rstrip("/")  # type: ignore[attr-defined]
     return spark._paperlens_dir  # type: ignore[attr-defined]
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     """Cut the lineage: write `df` to the shared folder and return the table that was written."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     _LIVE[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(schema or df.schema).parquet(path)
     out._paperlens_path = path  # type: ignore[attr-defined]
     return out
 
 
+def materialize_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """`materialize`, and aggregates of the rows observed while they are written, without a second job."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[c.alias(name) for name, c in counts.items()]), df.schema)
+    return out, {name: seen.get.get(name) or 0 for name in counts}
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that `materialize` wrote, once nothing reads it any more."""
     path = getattr(df, "_paperlens_path", None)
