@@ -191,6 +191,9 @@ def propagate_captions(blocks: DataFrame) -> DataFrame:
 def rebind_captions(blocks: DataFrame, orphans: DataFrame, most: float = 150.0) -> DataFrame:
     """Captions that no block owns, to blocks of their kind and page without one: the nearest pairs first, each used once, none further apart than `most`.
 
+    Where two or more figure captions of a page stand above a block, and one of them above a table, the captions of that page stand one block too
+    low; they go to its blocks without one from top to bottom, before any other.
+
     orphans: (paper_id, page_idx, x0, y0, x1, y1, desc, caption_number). The distance is the vertical gap plus the horizontal one, doubled where both have no width in common.
     """
     columns = ["paper_id", "page_idx", "pos", "block_type", "x0", "y0", "x1", "y1", "desc", "caption_number"]
@@ -201,6 +204,14 @@ def rebind_captions(blocks: DataFrame, orphans: DataFrame, most: float = 150.0)
         box = list(zip(*(page[c].tolist() for c in ("x0", "y0", "x1", "y1"))))
         bare = [i for i, k in enumerate(kind) if k != "caption" and not isinstance(number[i], str)]
         loose = [i for i, k in enumerate(kind) if k == "caption"]
+        used: set[int] = set()
+        titles = sorted((c for c in loose if isinstance(number[c], str) and number[c].startswith("F:")), key=lambda c: (box[c][1], c))
+        solid = [i for i, k in enumerate(kind) if k != "caption"]
+        under = [min(below, key=lambda i: (box[i][1], i)) for c in titles if (below := [i for i in solid if box[i][1] >= box[c][3] - 5])]
+        if len(under) >= 2 and any(kind[i] == "table" for i in under):
+            for c, b in zip(titles, sorted((b for b in bare if box[b][1] < max(box[c][1] for c in titles)), key=lambda b: (box[b][1], b))):
+                used |= {c, b}
+                number[b], desc[b] = number[c], desc[c]
         pairs = []
         for c in loose:
             for b in bare:
@@ -210,7 +221,6 @@ def rebind_captions(blocks: DataFrame, orphans: DataFrame, most: float = 150.0)
                     d = (v + h) * (2 if h > 0 else 1)
                     if d <= most:
                         pairs.append((d, c, b))
-        used: set[int] = set()
         for _, c, b in sorted(pairs):
             if c not in used and b not in used:
                 used |= {c, b}
@@ -234,6 +244,37 @@ def swap_captions(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("_new", new).withColumn("caption_number", F.col("_new.caption_number")).withColumn("desc", F.col("_new.desc")).drop("_new")
 
 
+def settle_captions(blocks: DataFrame, apart: tuple[str, ...] = ()) -> DataFrame:
+    """Captions of the other kind than their blocks, put right page by page.
+
+    The first table with a figure's caption and the first figure with a table's change captions, then the second of each, and so on. A caption
+    that is left goes to the nearest block of its kind without one, by the gap between them, ties by place; its block has none then. Captions of
+    `apart` stay where they are in that.
+    """
+    columns = ["paper_id", "page_idx", "pos", "block_type", "x0", "y0", "x1", "y1", "desc", "caption_number"]
+
+    def work(page: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        table = [k == "table" for k in page["block_type"]]
+        number, desc = [c if isinstance(c, str) else None for c in page["caption_number"]], page["desc"].tolist()
+        wrong = [n is not None and n.startswith("F:" if t else "T:") for n, t in zip(number, table)]
+        on_tables, on_figures = ([i for i, w in enumerate(wrong) if w and table[i] == side] for side in (True, False))
+        for i, j in zip(on_tables, on_figures):
+            number[i], number[j], desc[i], desc[j] = number[j], number[i], desc[j], desc[i]
+        paired = min(len(on_tables), len(on_figures))
+        top, bottom = page["y0"], page["y1"]
+        for i in sorted(on_tables[paired:] + on_figures[paired:]):
+            if number[i] in apart:
+                continue
+            free = [j for j in range(len(table)) if number[j] is None and table[j] == number[i].startswith("T:") and j != i]
+            if free:
+                j = min(free, key=lambda j: (max(top[j] - bottom[i], top[i] - bottom[j], 0.0), j))
+                number[j], desc[j], number[i] = number[i], desc[i], None
+                desc[i] = f"{page['block_type'][i]} on page {page['page_idx'][i] + 1}"
+        return page | {"caption_number": np.array(number, dtype=object), "desc": np.array(desc, dtype=object)}
+
+    return _pages(blocks.select(*columns), ["pos"], work, RAW_BLOCK)
+
+
 def figures(blocks: DataFrame) -> DataFrame:
     """Blocks with one caption number on a page as one figure: union of boxes, number of parts. Blocks without a number stay alone."""
     key = F.coalesce("caption_number", F.concat(F.lit("pos:"), F.col("pos").cast("string")))

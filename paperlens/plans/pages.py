@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperlens.functions import geometry as g
 from paperlens.functions.geometry import Box
-from paperlens.operators import layout
+from paperlens.operators import grouping, layout
 
 Query = Callable[[SparkSession, str], DataFrame]
 _BOXES = """select cast(l_orderkey as varchar) as paper_id, cast(l_linenumber % 2 as int) as page_idx, cast(l_linenumber as int) as pos, case when l_returnflag = 'R' then 'table' else 'image' end as block_type,
@@ -61,6 +61,17 @@ def l_swapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.swap_captions(boxes(spark, sf_dir).withColumn("block_type", turned)).select("paper_id", "pos", "caption_number")
 
 
+def l_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = F.when(F.col("pos") % 3 == 0, F.when(F.col("block_type") == "table", "image").otherwise("table")).otherwise(F.col("block_type"))
+    return layout.settle_captions(boxes(spark, sf_dir).withColumn("block_type", turned)).select("paper_id", "page_idx", "pos", "caption_number")
+
+
+def l_post_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passes over the pages: noise, spreading, grouping, repairs, and the edges of the text."""
+    blocks = boxes(spark, sf_dir)
+    return grouping.post_process(blocks, edges=layout.extents(blocks)).select("paper_id", "page_idx", "figure", "x0", "y0", "x1", "y1", "caption_number", "parts")
+
+
 def l_missing_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.missing_numbers(boxes(spark, sf_dir))
 
@@ -83,7 +94,7 @@ def l_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (l_overlaps, l_extents, l_noise, l_columns, l_panels, l_figures, l_unique_captions, l_propagated, l_swapped, l_missing_numbers, l_validate, l_clusters, l_largest_gap, l_distinct)}
+    return {f.__name__: f for f in (l_overlaps, l_extents, l_noise, l_columns, l_panels, l_figures, l_unique_captions, l_propagated, l_swapped, l_settled, l_post_processed, l_missing_numbers, l_validate, l_clusters, l_largest_gap, l_distinct)}
 
 
 def oracle_sql() -> dict[str, str]:

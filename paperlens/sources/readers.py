@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import json
 import zipfile
 from collections.abc import Iterator
 
@@ -109,27 +108,43 @@ def png_sizes(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", number(17).alias("width"), number(21).alias("height"))
 
 
-def archives(spark: SparkSession, path: str) -> DataFrame:
+def archives(spark: SparkSession, path: str, most: int = 256 << 20) -> DataFrame:
     """Members of zip archives that lie within them: (archive, name, size, text); text only of .json and .md members.
 
-    Names that lead out of the archive are left out.
+    Names that lead out of the archive are left out. A member that says it is larger than `most` bytes, or turns out to be, has a null text, so
+    what an archive unpacks to is bounded. Members are given out one by one, not an archive at a time; a broken archive gives one row without a name.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path).select("path", "content")
 
+    def text(z: zipfile.ZipFile, info: zipfile.ZipInfo) -> str | None:
+        if not info.filename.endswith((".json", ".md")) or info.file_size > most:
+            return None
+        with z.open(info) as f:
+            body = f.read(most + 1)
+        return body.decode("utf-8", "replace") if len(body) <= most else None
+
+    def members(archive: str, content: bytes) -> Iterator[tuple]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for info in z.infolist():
+                    name = info.filename
+                    if not (info.is_dir() or name.startswith(("/", "\\")) or ".." in name.replace("\\", "/").split("/")):
+                        yield archive, name, info.file_size, text(z, info)
+        except zipfile.BadZipFile:
+            yield archive, None, None, None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
+            rows, held = [], 0
             for archive, content in zip(pdf["path"], pdf["content"]):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for info in z.infolist():
-                            name = info.filename
-                            if info.is_dir() or name.startswith(("/", "\\")) or ".." in name.replace("\\", "/").split("/"):
-                                continue
-                            rows.append((archive, name, info.file_size, z.read(info).decode("utf-8", "replace") if name.endswith((".json", ".md")) else None))
-                except zipfile.BadZipFile:
-                    rows.append((archive, None, None, None))
-            yield pd.DataFrame(rows, columns=["archive", "name", "size", "text"])
+                for row in members(archive, content):
+                    rows.append(row)
+                    held += len(row[3] or "")
+                    if held > 16 << 20 or len(rows) >= 10_000:
+                        yield pd.DataFrame(rows, columns=["archive", "name", "size", "text"])
+                        rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=["archive", "name", "size", "text"])
 
     return files.mapInPandas(run, "archive string, name string, size long, text string")
 
@@ -156,41 +171,33 @@ def missing(ids: DataFrame, found: DataFrame) -> DataFrame:
     return ids.join(found.select("id"), "id", "left_anti")
 
 
-# a paged source
-def register_pages(spark: SparkSession) -> None:
-    """Registers the source `pages`: JSON files page-00000.json, page-00001.json ... of a folder, each an array of papers, one partition a page.
-
-    Options: path, max_results, page_size. A page that is empty or shorter than a full one ends the scan for those after it, so pages beyond
-    max_results aren't read.
-    """
-    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-    class Reader(DataSourceReader):
-        def __init__(self, options: dict[str, str]):
-            self.path, self.most, self.size = options["path"], int(options.get("max_results", "1000")), int(options.get("page_size", "100"))
+def configured(archives: DataFrame, split: list[str]) -> DataFrame:
+    """Cached archives(split_figures, ...) that were made with the same figures kept apart, in any order."""
+    return archives.where(F.sort_array(F.coalesce("split_figures", F.array().cast("array<string>"))) == F.array_sort(F.array(*[F.lit(x) for x in split]) if split else F.array().cast("array<string>")))
 
-        def partitions(self) -> list[InputPartition]:
-            return [InputPartition(n) for n in range(-(-self.most // self.size))]
 
-        def read(self, partition: InputPartition) -> Iterator[tuple]:
-            import os
+def listed(names: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """Names(name) in order from `offset` on, `limit` of them: a page of a folder's listing."""
+    out = names.orderBy("name").offset(offset)
+    return out if limit is None else out.limit(limit)
 
-            n = partition.value
-            name = os.path.join(self.path, f"page-{n:05d}.json")
-            if os.path.exists(name):
-                with open(name, encoding="utf-8") as f:
-                    for paper in json.load(f)[: min(self.size, self.most - n * self.size)]:
-                        yield paper.get("id"), paper.get("title"), paper.get("published")
 
-    class Pages(DataSource):
-        @classmethod
-        def name(cls) -> str:
-            return "pages"
-
-        def schema(self) -> str:
-            return "id string, title string, published string"
-
-        def reader(self, schema: object) -> Reader:
-            return Reader(self.options)
+# a paged source
+def pages(spark: SparkSession, path: str, page_size: int = 100, max_results: int | None = None) -> DataFrame:
+    """Papers (id, title, published, page, place) of files page-00000.json, page-00001.json ... of a folder, each an array of papers.
 
-    spark.dataSource.register(Pages)
+    The scan ends with the first page that is shorter than `page_size` or isn't there; what lies beyond is left out, and so is what exceeds
+    `max_results`. The files are read by Spark, from wherever it reads.
+    """
+    raw = spark.read.text(f"{path}/page-*.json", wholetext=True).select(F.regexp_extract(F.input_file_name(), "page-(\\d+)\\.json$", 1).cast("long").alias("page"), F.from_json("value", "array<struct<id:string,title:string,published:string>>").alias("papers"))
+    size = F.coalesce(F.size("papers"), F.lit(0))
+    # one row a page: the first that isn't full, or the first gap, ends the scan
+    sizes = raw.select("page", size.alias("n"))
+    short = sizes.where(F.col("n") < page_size).select("page")
+    gap = sizes.select((F.col("page") + 1).alias("page")).join(sizes.select("page"), "page", "left_anti")
+    end = short.unionByName(gap).agg(F.min("page").alias("end"))
+    rows = raw.join(end, F.col("page") <= F.col("end")).select("page", F.posexplode("papers").alias("place", "p"))
+    rows = rows.where(F.col("place") < page_size)
+    if max_results is not None:
+        rows = rows.where(F.col("page") * page_size + F.col("place") < max_results)
+    return rows.select("p.id", "p.title", "p.published", "page", "place")

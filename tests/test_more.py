@@ -191,3 +191,47 @@ def test_shared_folder_is_asked_for(spark):
     if not spark.conf.get("spark.checkpoint.dir", None):
         with pytest.raises(RuntimeError):
             work_dir(Elsewhere())
+
+
+def test_cron():
+    from datetime import datetime
+
+    from paperlens.streaming.flows import next_run
+
+    at = datetime(2026, 1, 31, 15, 59, 30)  # 23:59:30 in the zone
+    assert next_run("0 8 * * *", at) == datetime(2026, 2, 1, 0, 0)
+    assert next_run("0 0 8 * * *", at) == datetime(2026, 2, 1, 0, 0)
+    assert next_run("*/15 * * * *", at) == datetime(2026, 1, 31, 16, 0)
+    assert next_run("30 9-10 * * 1,3", at) == datetime(2026, 2, 2, 1, 30)
+    assert next_run("0 0 29 2 *", at) == datetime(2028, 2, 28, 16, 0)
+    assert next_run("0 0 1 * 0", at) == datetime(2026, 1, 31, 16, 0) and next_run("0 0 1 * 0", datetime(2026, 1, 31, 16, 0)) == datetime(2026, 2, 7, 16, 0)
+    for bad in ("", "* * * *", "61 * * * *", "0 0 31 2 *", "x * * * *"):
+        with pytest.raises(ValueError):
+            next_run(bad, at)
+
+
+def test_archives_are_bounded(spark, tmp_path):
+    import zipfile
+
+    from paperlens.sources import readers
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for name, body in (("x.md", "short"), ("y.json", "9" * 500), ("../z.md", "out"), ("p.png", "n")):
+            z.writestr(name, body)
+    (tmp_path / "b.zip").write_bytes(b"broken")
+    got = {(r.archive.rsplit("/", 1)[-1], r.name, r.text) for r in readers.archives(spark, str(tmp_path), most=100).collect()}
+    assert got == {("a.zip", "x.md", "short"), ("a.zip", "y.json", None), ("a.zip", "p.png", None), ("b.zip", None, None)}
+    names = spark.createDataFrame([("c",), ("a",), ("b",)], "name string")
+    assert [r.name for r in readers.listed(names, 1, 1).collect()] == ["b"]
+    cached = spark.createDataFrame([("p", ["F:2", "F:1"]), ("q", None)], "paper_id string, split_figures array<string>")
+    assert [r.paper_id for r in readers.configured(cached, ["F:1", "F:2"]).collect()] == ["p"] and [r.paper_id for r in readers.configured(cached, []).collect()] == ["q"]
+
+
+def test_late_papers(spark, tmp_path):
+    from paperlens.streaming import flows
+
+    df = spark.createDataFrame([("a", "2026-01-01"), ("a", "2026-01-01"), ("b", "2026-01-02")], "id string, day string").withColumn("at", F.to_timestamp("day"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    out = flows.drain(spark, flows.admit(stream, spark.createDataFrame([("b",)], "id string"), at="at"), "late")
+    assert [r.id for r in out.collect()] == ["a"]

@@ -140,8 +140,8 @@ def test_sources(spark, tmp_path):
     assert [(r.width, r.height) for r in readers.png_sizes(spark, f"{tmp_path}/i.png").collect()] == [(256, 32)]
     for n, size in enumerate((2, 1)):
         (tmp_path / f"page-{n:05d}.json").write_text(json.dumps([{"id": f"{n}-{i}", "title": "t"} for i in range(size)]))
-    readers.register_pages(spark)
-    assert spark.read.format("pages").options(path=str(tmp_path), max_results=10, page_size=2).load().count() == 3
+    assert readers.pages(spark, str(tmp_path), 2, 10).count() == 3
+    assert readers.pages(spark, str(tmp_path), 2, 1).count() == 1 and readers.pages(spark, str(tmp_path), 3).count() == 2
     cache = spark.createDataFrame([("u", "b", dt.datetime(2024, 1, 1)), ("v", "b", dt.datetime(2024, 1, 9))], "url string, body string, written_at timestamp")
     assert [r.url for r in readers.fresh(cache, F.lit(dt.datetime(2024, 1, 10))).collect()] == ["v"]
 
