@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlens.catalog import Tables, with_views
@@ -123,30 +123,31 @@ def f13_points(t: Tables) -> DataFrame:
 
 
 # versions
-_AT = F.to_timestamp(F.lit("2026-01-01 00:00:00"))
+def _at() -> Column:
+    return F.to_timestamp(F.lit("2026-01-01 00:00:00"))
 
 
 def _backups(t: Tables) -> DataFrame:
     """Each valid insight was backed up twice, a day apart, the second time with a mark of its own."""
-    one = versions.back_up(t.spark.createDataFrame([], "paper_id string, insight string, processed_at timestamp_ntz, review string, reviewed_at timestamp_ntz, backup_at timestamp"), t.insights, _AT)
+    one = versions.back_up(t.spark.createDataFrame([], "paper_id string, insight string, processed_at timestamp_ntz, review string, reviewed_at timestamp_ntz, backup_at timestamp"), t.insights, _at())
     return one.unionByName(one.withColumn("insight", F.concat("insight", F.lit(" (2)"))).withColumn("backup_at", F.col("backup_at") + F.expr("interval 1 day")))
 
 
 @query("u9_restored", f", gone as (select paper_id from m where mark = 'critical'), ok as (select * from pi where {_VALID}) select paper_id, case when paper_id in (select paper_id from gone) and paper_id in (select paper_id from ok) then insight || ' (2)' else insight end as insight from pi", "pi", "m")
 def u9_restored(t: Tables) -> DataFrame:
     ids = t.marks.where("mark = 'critical'").select("paper_id")
-    return versions.restore(t.insights, _backups(t), ids, _AT)[0].select("paper_id", "insight")
+    return versions.restore(t.insights, _backups(t), ids, _at())[0].select("paper_id", "insight")
 
 
 @query("u9_backups", f", ok as (select * from pi where {_VALID}) select paper_id, 2 + case when paper_id in (select paper_id from m where mark = 'critical') then 1 else 0 end as n from ok", "pi", "m")
 def u9_backups(t: Tables) -> DataFrame:
     ids = t.marks.where("mark = 'critical'").select("paper_id")
-    return versions.restore(t.insights, _backups(t), ids, _AT)[1].groupBy("paper_id").agg(F.count("*").cast("int").alias("n"))
+    return versions.restore(t.insights, _backups(t), ids, _at())[1].groupBy("paper_id").agg(F.count("*").cast("int").alias("n"))
 
 
 @query("u15_cleared", ", x as (select paper_id, mark from m) select x.paper_id, case when pi.paper_id is null then 'unknown' when checked_at is not null then 'refused' else 'cleared' end as status, case when checked_at is null and pi.paper_id is not null then '' else insight end as insight from x left join pi on pi.paper_id = x.paper_id", "pi", "m")
 def u15_cleared(t: Tables) -> DataFrame:
-    current, _, outcome = versions.clear(t.insights, _backups(t), t.marks, _AT)
+    current, _, outcome = versions.clear(t.insights, _backups(t), t.marks, _at())
     return outcome.join(current.select("paper_id", "insight"), "paper_id", "left").select("paper_id", "status", "insight")
 
 
