@@ -208,6 +208,12 @@ def find_text(text: str, quote: str) -> list[int]:
     return exact or [m.start() for m in re.finditer(r"\s+".join(map(re.escape, quote.split())), text)]
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def quote_places(text: pd.Series, quote: pd.Series) -> pd.Series:
+    """`find_text` of each pair; an empty list where either is null."""
+    return pd.Series([find_text(t, q) if t and q else [] for t, q in zip(text, quote)])
+
+
 @F.pandas_udf(T.StructType().add("status", "string").add("text", "string"))
 def apply_edit(text: pd.Series, old: pd.Series, new: pd.Series) -> pd.DataFrame:
     """Replace `old` by `new` where it lies in just one place: status applied, missing or ambiguous."""

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlens.catalog import Tables, with_views
-from paperlens.functions import svg, terms
-from paperlens.operators import snapshots, versions
+from paperlens.functions import svg, terms, text
+from paperlens.operators import mutations, snapshots, versions
 from paperlens.plans.pages import _BOXES, boxes
 from paperlens.sources import external
 
@@ -176,6 +176,53 @@ def r5_running(t: Tables) -> DataFrame:
     return versions.running(t.insights).select("paper_id", "what")
 
 
+_B36 = "substr('0123456789abcdefghijklmnopqrstuvwxyz', {} + 1, 1)"
+_BYTE = "cast(('0x' || substr(sha1(id), 1, 2)) as int)"
+
+
+@query("t29_spelled", f"select id, case when s >= 3600 then (s // 3600) || 'h ' || (s % 3600 // 60) || 'm ' || (s % 60) || 's' when s >= 60 then (s // 60) || 'm ' || (s % 60) || 's' else s || 's' end as took, substr(id, 1, 4) || '...' || right(id, 4) as mask, 'ab' || lpad(cast(s % 90 as varchar), 2, '0') || {_B36.format(_BYTE + ' // 36')} || {_B36.format(_BYTE + ' % 36')} as image from (select id, length(title) * 97 as s from p)", "p")
+def t29_spelled(t: Tables) -> DataFrame:
+    """Seconds as hours, minutes and seconds, masked keys and names of images, made from ids and titles."""
+    rows = t.papers.select("id", (F.char_length("title") * 97).cast("long").alias("s"))
+    return rows.select("id", text.spell_seconds(F.col("s")).alias("took"), text.masked(F.col("id")).alias("mask"), text.image_name(F.lit("ab"), F.col("s") % 90, F.col("id")).alias("image"))
+
+
+@query("j14_listed", ", g as (select paper_id, string_agg(tag, '; ' order by weight desc, tag) as tags from lt group by paper_id) select live.id, title, mark, tags from live left join m on live.id = m.paper_id left join g on live.id = g.paper_id", "live", "m", "lt")
+def j14_listed(t: Tables) -> DataFrame:
+    """Live papers with their mark and their tags, the heaviest first."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("w"), "tag"))), lambda x: x["tag"])
+    of = t.live_tags.groupBy(F.col("paper_id").alias("id")).agg(F.array_join(listed, "; ").alias("tags"))
+    return t.live(t.papers).select("id", "title").join(t.marks.select(F.col("paper_id").alias("id"), "mark"), "id", "left").join(of, "id", "left")
+
+
+@query("u6_marks", "select paper_id, 'marginal' as mark from m where mark = 'critical' union all select paper_id, mark from m where mark = 'marginal' union all select id, 'supporting' from (select min(id) as id from p where id not in (select paper_id from m))", "m", "p")
+def u6_marks(t: Tables) -> DataFrame:
+    """Critical marks made marginal, supporting ones cleared, one set anew, and one that isn't known left out."""
+    m = t.marks
+    fresh = t.papers.select(F.col("id").alias("paper_id")).join(m.select("paper_id"), "paper_id", "left_anti").agg(F.min("paper_id").alias("paper_id"))
+    change = m.where("mark <> 'marginal'").select("paper_id", F.when(F.col("mark") == "critical", "marginal").alias("mark"))
+    odd = m.where("mark = 'marginal'").select("paper_id", F.lit("odd").alias("mark"))
+    return mutations.set_mark(m, change.unionByName(fresh.withColumn("mark", F.lit("supporting"))).unionByName(odd)).select("paper_id", "mark")
+
+
+@query("u12_deleted_by_tag", ", x as (select tag from t group by tag order by count(*) desc, tag limit 1) select id from live where id not in (select paper_id from t where tag in (select tag from x))", "live", "t")
+def u12_deleted_by_tag(t: Tables) -> DataFrame:
+    """Papers that are left when all of the commonest tag are deleted."""
+    top = t.tags.groupBy("tag").count().orderBy(F.desc("count"), "tag").limit(1).select("tag")
+    gone = t.tags.join(top, "tag", "left_semi").select(F.col("paper_id").alias("id")).distinct()
+    deleted = mutations.soft_delete(t.raw("deleted_papers").select("id", F.col("deleted_at").cast("timestamp").alias("deleted_at")), gone, _at())
+    return t.papers.join(deleted.select("id"), "id", "left_anti").select("id")
+
+
+@query("u16_boxes", f"with b as ({_BOXES}) select paper_id, pos, case when pos = 1 then x0 - 5 else x0 end as x0, case when pos = 1 then x1 + 5 else x1 end as x1 from b where pos <> 2 union all select paper_id, 99, min(x0), max(x1) from b where pos in (3, 4) group by paper_id")
+def u16_boxes(t: Tables) -> DataFrame:
+    """Boxes after changes by hand: the first is widened, the second deleted, and one is added around the third and fourth."""
+    b = _boxes(t).select("paper_id", "pos", "x0", "x1")
+    wider = b.where("pos = 1").select("paper_id", "pos", (F.col("x0") - 5).alias("x0"), (F.col("x1") + 5).alias("x1"))
+    added = b.where("pos in (3, 4)").groupBy("paper_id").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).select("paper_id", F.lit(99).alias("pos"), "x0", "x1")
+    return mutations.upsert(b.where("pos <> 2"), wider.unionByName(added), ["paper_id", "pos"])
+
+
 # conversations
 @query("x_merged_roles", ", s as (select paper_id, id, case when is_ai then 'assistant' else 'user' end as role, coalesce(comment, '') as content from c), f as (select *, case when role is distinct from lag(role) over (partition by paper_id order by id) then 1 else 0 end as opens from s), r as (select *, cast(sum(opens) over (partition by paper_id order by id) as bigint) as turn from f) select paper_id, turn, role, md5(string_agg(content, '\n\n' order by id)) as digest from r group by paper_id, turn, role", "c")
 def x_merged_roles(t: Tables) -> DataFrame:

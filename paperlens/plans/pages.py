@@ -119,5 +119,10 @@ def oracle_sql() -> dict[str, str]:
           select paper_id, pos, case when one and ft then t when one and tf then f else caption_number end as caption_number from p""",
         "l_missing_numbers": f"{b}, n as (select distinct paper_id, substr(caption_number, 1, 1) as kind, cast(substr(caption_number, 3) as int) as number from b where caption_number is not null), t as (select paper_id, kind, unnest(range(1, max(number) + 1)) as number from n group by paper_id, kind) select paper_id, kind, cast(number as int) as number from t where (paper_id, kind, number) not in (select paper_id, kind, number from n)",
         "l_clusters": f"{b}, m as (select *, case when y0 - lag(y1) over w >= 30 then 1 else 0 end as opens from b window w as (partition by paper_id, page_idx order by y0, x0, pos)), c as (select *, cast(sum(opens) over (partition by paper_id, page_idx order by y0, x0, pos rows unbounded preceding) as bigint) as cluster from m) select paper_id, page_idx, cluster, min(y0) as y0, max(y1) as y1, count(*) as n from c group by 1, 2, 3",
+        "l_validate": f"""{b}, f as (select paper_id, page_idx, coalesce(caption_number, 'pos:' || pos) as figure, any_value(caption_number) as caption_number, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from b group by all),
+          g as (select *, row_number() over (partition by paper_id, page_idx order by figure) as pos from f), o as (select a.paper_id, a.pos as i, c.pos as j, greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) * greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0)) as both_,
+          (a.x1 - a.x0) * (a.y1 - a.y0) as area_a, (c.x1 - c.x0) * (c.y1 - c.y0) as area_b from g a join g c on a.paper_id = c.paper_id and a.page_idx = c.page_idx and a.pos < c.pos)
+          select paper_id, 'duplicate' as error, caption_number as detail from f where caption_number is not null group by paper_id, caption_number having count(*) > 1
+          union all select paper_id, 'overlap', i || '-' || j from o where both_ > 0 and both_ > 0.5 * least(area_a, area_b)""",
         "l_largest_gap": f"{b}, m as (select paper_id, page_idx, y0 - lag(y1) over (partition by paper_id, page_idx order by y0, x0, pos) as gap, y0 from b) select paper_id, page_idx, max(gap) as gap, max_by(y0, (gap, -y0)) as \"at\" from m where gap is not null group by 1, 2",
     }

@@ -82,17 +82,25 @@ def t16_history(t: Tables) -> DataFrame:
     return t.comments("comment").select("id", text.clean_history(F.col("comment")).alias("message"))
 
 
-@query("t17_quotes", "select c.id, case when contains(insight, quote) then 'found' else 'missing' end as status from c join pi on c.paper_id = pi.paper_id where quote <> ''", "pi", "c")
+# a quotation from each insight: thirty characters of it that hold more than blanks, wherever else they stand
+_QUOTED = ", q as (select paper_id, insight, substring(insight, 11, 30) as q from pi where length(insight) > 60), o as (select *, (length(insight) - length(replace(insight, q, ''))) // length(q) as n from q where trim(q, ' ' || chr(10) || chr(9)) <> '')"
+
+
+def _quoted(t: Tables) -> DataFrame:
+    return t.insights.where("char_length(insight) > 60").select("paper_id", "insight", F.substring("insight", 11, 30).alias("q")).where("trim(' \\n\\t' from q) <> ''")
+
+
+@query("t17_quotes", f"{_QUOTED} select paper_id, n from o", "pi")
 def t17_quotes(t: Tables) -> DataFrame:
-    both = t.comments("paper_id", "quote").where("quote <> ''").join(t.insights.select("paper_id", "insight"), "paper_id")
-    return both.select("id", F.when(F.col("insight").contains(F.col("quote")), "found").otherwise("missing").alias("status"))
+    """How often a quotation stands in its insight."""
+    return _quoted(t).select("paper_id", F.size(markdown.quote_places(F.col("insight"), F.col("q"))).cast("long").alias("n"))
 
 
-@query("t18_edits")
+@query("t18_edits", f"{_QUOTED} select paper_id, case when n = 1 then 'applied' else 'ambiguous' end as status, md5(case when n = 1 then replace(insight, q, '[edited]') else insight end) as digest from o", "pi")
 def t18_edits(t: Tables) -> DataFrame:
-    both = t.comments("paper_id", "ai_old_text", "ai_new_text", "ai_status").where("ai_old_text <> '' and ai_status = 'applied'").join(t.insights.select("paper_id", "insight"), "paper_id")
-    edit = markdown.apply_edit(F.col("insight"), F.col("ai_old_text"), F.col("ai_new_text"))
-    return both.select("id", edit.alias("e")).select("id", "e.status", F.length("e.text").alias("n"))
+    """Insights after an edit of a quotation, which is refused where that stands in several places."""
+    edit = markdown.apply_edit(F.col("insight"), F.col("q"), F.lit("[edited]"))
+    return _quoted(t).select("paper_id", F.inline(F.array(edit))).select("paper_id", "status", F.md5("text").alias("digest"))
 
 
 @query("t20_fingerprint", ", k as (select paper_id, id // 1000 as chunk, md5(string_agg(id || ':' || ai_status, '|' order by id)) as mark from c group by all) select paper_id, md5(string_agg(mark, '|' order by chunk)) as mark from k group by paper_id", "c")
@@ -138,9 +146,12 @@ def t23_caption_kinds(t: Tables) -> DataFrame:
     return _docs(t).select("doc_id", text.looks_like_caption(c).alias("caption"), text.looks_like_caption_header(c).alias("header"), text.panel_label(c).alias("panel"), text.caption_number(c).alias("number"))
 
 
-@query("t27_labels", "select doc_id, regexp_matches(trim(text, ' '), '^\\d+\\.\\s+\\w+') as numbered from documents where text is not null")
+_LABELS = " or ".join(f"contains(lower(text), '{x}')" for x in text.STRUCTURE_LABELS)
+
+
+@query("t27_labels", f"select doc_id, regexp_matches(trim(text, ' '), '^\\d+\\.\\s+\\w+') as numbered, regexp_matches(text, '\\b(?:SYSTEM|USER|ASSISTANT)\\b') or regexp_matches(text, '(?i)\\bdemonstrations?\\b') or {_LABELS} as structure from documents where text is not null")
 def t27_labels(t: Tables) -> DataFrame:
-    return _docs(t).select("doc_id", text.numbered_label(F.col("text")).alias("numbered"))
+    return _docs(t).select("doc_id", text.numbered_label(F.col("text")).alias("numbered"), text.structure_label(F.col("text")).alias("structure"))
 
 
 @query("t30_image_names", "select id, substr('0123456789abcdefghijklmnopqrstuvwxyz', cast(('0x' || substr(sha1(id), 1, 2)) as int) // 36 + 1, 1) || substr('0123456789abcdefghijklmnopqrstuvwxyz', cast(('0x' || substr(sha1(id), 1, 2)) as int) % 36 + 1, 1) as name from p", "p")
@@ -199,8 +210,10 @@ def m1_html(t: Tables) -> DataFrame:
 
 @query("m10_relayout")
 def m10_relayout(t: Tables) -> DataFrame:
+    """Insights with their images laid out by their sizes. The tables hold no images, so a size is made from the address of each: from 200 to 1,999 wide, from 150 to 1,349 high."""
     found = t.insights.select("paper_id", "insight", markdown.images(F.col("insight")).alias("i"))
-    sizes = F.to_json(F.map_from_entries(F.transform(F.array_distinct(F.transform("i", lambda x: x["url"])), lambda u: F.struct(u, F.array(F.lit(900.0), F.lit(600.0))))))
+    size = lambda u: F.array((F.crc32(u.cast("binary")) % 1800 + 200).cast("double"), (F.crc32(F.reverse(u).cast("binary")) % 1200 + 150).cast("double"))
+    sizes = F.to_json(F.map_from_entries(F.transform(F.array_distinct(F.transform("i", lambda x: x["url"])), lambda u: F.struct(u, size(u)))))
     return found.select("paper_id", markdown.relayout(F.col("insight"), sizes).alias("text"))
 
 
