@@ -146,12 +146,14 @@ def _fits(words: tuple[str, ...], tokens: list[str], at: int) -> bool:
 def _spots(tokens: list[str], language: str) -> list[tuple[int, int, str]]:
     """(first, end, class) of every phrase in the tokens."""
     by_word, stems, _ = _lexicon()[language]
+    any_stem = tuple(stem for stem, _ in stems)
     out = []
     for at, token in enumerate(tokens):
         for words, kind in by_word.get(token, ()):
             if _fits(words, tokens, at):
                 out.append((at, at + len(words), kind))
-        out.extend((at, at + 1, kind) for stem, kind in stems if token.startswith(stem))
+        if token.startswith(any_stem):
+            out.extend((at, at + 1, kind) for stem, kind in stems if token.startswith(stem))
     # a dropped subject: a clause that begins with what it can't
     begun = {at for at, _, kind in out if kind in ("unable", "decline", "able") and (at == 0 or tokens[at - 1] in ",;:—–-" or tokens[at - 1] in _LEAD)}
     out.extend((at, at, "start") for at in begun)
