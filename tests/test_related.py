@@ -42,7 +42,7 @@ def _papers(rng, n, weights, popular, rare):
     return papers
 
 
-@pytest.mark.parametrize("full", [False])
+@pytest.mark.parametrize("full", [False, True])
 @pytest.mark.parametrize("weights", [(1.0,), (1.0, 2.0, 9.5), tuple(x / 8 for x in range(1, 80)), (0.0, 1.0, 3.0), (-2.0, 1.0, 3.0)])
 def test_nearest_is_the_search_of_all_pairs(full, weights):
     rng = random.Random(5)
@@ -66,7 +66,7 @@ def _shuffled(spark):
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("full", [False])
+@pytest.mark.parametrize("full", [False, True])
 def test_pairs_of_a_popular_tag_stay_where_they_are(spark, full):
     rng = random.Random(6)
     papers = {p: {("hot" if t == "p0" else t): w for t, w in own.items()} for p, own in _papers(rng, 900, (1.0, 2.0, 3.5), 1, 3).items()}
