@@ -3,11 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from paperlens.catalog import Tables
-from paperlens.functions.nearest import nearest
+from paperlens.functions.nearest import blocks, nearest
 from paperlens.operators import tags
 
 
@@ -84,3 +85,50 @@ def test_pairs_of_a_popular_tag_stay_where_they_are(spark, full):
     want = _plain(known, {p: own for p, own in known.items() if p not in gone}, 3, full)
     assert {p: [(n, b) for n, _, b in sorted(x)] for p, x in got.items()} == {p: [(n, b) for n, (_, b) in enumerate(x, 1)] for p, x in want.items()}
     assert all(abs(s - want[p][n - 1][0]) < 1e-6 for p, x in got.items() for n, s, _ in x)
+
+
+SCHEMA = pa.schema([("paper_id", pa.string()), ("tags", pa.list_(pa.string())), ("weights", pa.list_(pa.float64()))])
+
+
+def _table(papers):
+    return pa.Table.from_pylist([{"paper_id": p, "tags": list(t), "weights": list(t.values())} for p, t in papers.items()], SCHEMA)
+
+
+@pytest.mark.parametrize("full", [False, True])
+@pytest.mark.parametrize("weights", [(1.0,), (1.0, 2.0, 9.5), (0.0, 1.0, 3.0), (-2.0, 1.0, 3.0)])
+def test_blocks_one_after_another_give_what_one_block_gives(full, weights):
+    rng = random.Random(7)
+    for popular, rare in ((0, 4), (1, 0), (1, 3), (2, 2)):
+        papers = _papers(rng, 150, weights, popular, rare)
+        table, least, got = _table(papers), np.full(150, -1.0), {}
+        for others in blocks(iter(table.to_batches(max_chunksize=17)), 40):
+            assert others.num_rows == 40 or others.num_rows == 150 % 40
+            for r in nearest(table, others, 5, full, least).to_pylist():
+                if r["n2"] > 0 and (sim := round(r["dot"] / (math.sqrt(r["n1"]) * math.sqrt(r["n2"])), 9)) > 0:
+                    got.setdefault(r["paper_id"], []).append((-sim, r["other_id"]))
+        assert {p: [(-s, b) for s, b in sorted(x)[:5]] for p, x in got.items()} == _plain(papers, papers, 5, full)
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_what_travels_is_the_same_for_any_block(spark, full):
+    rng = random.Random(8)
+    papers = _papers(rng, 900, (1.0, 2.0, 3.5), 1, 3)
+    rows = [(p, t, None if t is None else w) for p, own in papers.items() for t, w in own.items()]
+    given = _Given(spark.createDataFrame(rows, "paper_id string, tag string, weight double"), spark.createDataFrame([], "id string"))
+    of = spark.createDataFrame([(p,) for p in papers], "paper_id string")
+    moved, results = [], []
+    for block in (1000, 60):
+        before = _shuffled(spark)
+        results.append(sorted(map(tuple, tags.related(given, of, 3, full, block=block).collect())))
+        moved.append(_shuffled(spark) - before)
+    assert results[0] == results[1] and results[0]
+    assert moved[1] < 1.2 * moved[0]
+
+
+def test_any_number_of_chunks_gives_the_same(spark):
+    papers = _papers(random.Random(9), 300, (1.0, 2.0, 3.5), 1, 3)
+    given = _Given(spark.createDataFrame([(p, t, w) for p, own in papers.items() for t, w in own.items()], "paper_id string, tag string, weight double"), spark.createDataFrame([], "id string"))
+    of = spark.createDataFrame([(p,) for p in sorted(papers)[::2]], "paper_id string")
+    whole, parts = (sorted(map(tuple, tags.related(given, of, 3, chunk=chunk).collect())) for chunk in (5000, 40))
+    assert whole == parts and len({r[0] for r in whole}) > 100
+    assert tags.related(given, of.where("false"), 3).count() == 0
